@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siskin.llm import langid
+from siskin.llm import bpe, langid, packing
 
 QUERIES = {
     "op1_langid": langid.query,
+    "op2_bpe": bpe.query,
+    "op4_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
