@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, langid, packing
+from siskin.llm import bpe, jpeg, langid, packing
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_bpe": bpe.query,
     "op4_packing": packing.query,
+    "op6_jpeg": jpeg.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
