@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, jpeg, langid, packing
+from siskin.llm import bpe, jpeg, langid, packing, pii
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_bpe": bpe.query,
     "op4_packing": packing.query,
     "op6_jpeg": jpeg.query,
+    "op7_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
