@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, jpeg, langid, packing, pii
+from siskin.llm import bpe, jpeg, langid, packing, pii, winnow
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_bpe": bpe.query,
     "op4_packing": packing.query,
+    "op5_winnowing": winnow.query,
     "op6_jpeg": jpeg.query,
     "op7_pii": pii.query,
 }
