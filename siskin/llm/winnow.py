@@ -26,6 +26,11 @@ _POSITIONS = (1 << POSITION_BITS) - 1
 BUCKET_BYTES = 8 << 20
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, as the variable of a lambda over one element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def selected(text: str | Column, k: int = K, w: int = W) -> Column:
     """array<bigint> of a text's selected grams, each its hash and position; null and empty: none."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -34,15 +39,21 @@ def selected(text: str | Column, k: int = K, w: int = W) -> Column:
     unit = r"\S{1,32}+"
     grams = F.regexp_extract_all(text, F.lit(rf"(?=({unit}(?:\s*+{unit}){{{k - 1}}}))(?:{unit})"), F.lit(1))
     whole = F.when(text.rlike(r"\S"), F.array(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(F.array().cast("array<string>"))
-    grams = F.when(F.size(grams) > 0, grams).otherwise(whole)
-    least = F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.lit(_POSITIONS) - i))
-    width = 1
-    while width < w:
+    keyed = _let(grams, lambda all_: F.transform(F.when(F.size(all_) > 0, all_).otherwise(whole), _key))
+
+    def windows(least: Column, width: int) -> Column:
+        if width == w:
+            # the last w - 1 windows are cut short by the end; a text with fewer grams is one window
+            return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.size(least) - (w - 1), F.least(F.size(least), F.lit(1)))))
         # beyond the shorter array there is null, which least() leaves out
-        least = F.zip_with(least, F.slice(least, width + 1, 1 << 30), lambda a, b: F.least(a, b))
-        width *= 2
-    # the last w - 1 windows are cut short by the end; a text with fewer grams is one window
-    return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.size(least) - (w - 1), F.least(F.size(least), F.lit(1)))))
+        wider = F.zip_with(least, F.slice(least, width + 1, 1 << 30), lambda a, b: F.least(a, b))
+        return _let(wider, lambda x: windows(x, 2 * width))
+
+    return _let(keyed, lambda x: windows(x, 1))
+
+
+def _key(gram: Column, i: Column) -> Column:
+    return F.xxhash64(gram).bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.lit(_POSITIONS) - i)
 
 
 def shown(picked: str | Column) -> Column:
