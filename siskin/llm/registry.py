@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, jpeg, langid, packing, pii, winnow
+from siskin.llm import bpe, jaccard, jpeg, langid, packing, pii, winnow
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_winnowing": winnow.query,
     "op6_jpeg": jpeg.query,
     "op7_pii": pii.query,
+    "op9_jaccard": jaccard.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
