@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, jaccard, jpeg, langid, packing, pii, winnow
+from siskin.llm import bpe, jaccard, jpeg, langid, packing, pii, substrings, winnow
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_bpe": bpe.query,
+    "op3_substring_dedup": substrings.query,
     "op4_packing": packing.query,
     "op5_winnowing": winnow.query,
     "op6_jpeg": jpeg.query,
