@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, jaccard, jpeg, langid, packing, pii, substrings, winnow
+from siskin.llm import bpe, hmm, jaccard, jpeg, langid, packing, pii, substrings, winnow
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_winnowing": winnow.query,
     "op6_jpeg": jpeg.query,
     "op7_pii": pii.query,
+    "op8_hmm": hmm.query,
     "op9_jaccard": jaccard.query,
 }
 
