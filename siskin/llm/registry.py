@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siskin.llm import bpe, hmm, jaccard, jpeg, langid, packing, pii, substrings, winnow
+from siskin.llm import bpe, hmm, jaccard, jpeg, langid, lines, packing, pii, substrings, winnow
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -14,6 +14,9 @@ QUERIES = {
     "op7_pii": pii.query,
     "op8_hmm": hmm.query,
     "op9_jaccard": jaccard.query,
+    "op10_line_dedup": lines.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": lines.ORACLE_SQL,
+}
