@@ -1,12 +1,11 @@
 """Removal of repeated runs of lines: a suffix array over line-ID sequences by prefix doubling.
 
 A line's ID is its hash; a document is its sequence of IDs. A position's name at level j
-stands for the 2^j lines from there on: its rank among equal ones is the rank of two
-names of the level before, at the position and 2^(j-1) lines later. Every level is one
-distributed grouping of the positions whose name still occurs twice, sorted by name, so
-equal names are the intervals of the suffix array with a common prefix of 2^j lines, and
-an interval's first member is its earliest copy. A position's longest repeated run is
-found by going down the levels again and adding each that still has an earlier copy.
+stands for the 2^j lines from there on, so a level's names sort the suffixes by their
+first 2^j lines: positions with one name are an interval of the suffix array with a
+common prefix of 2^j lines, and the interval's first place is its earliest copy. Where
+the exact common prefix of an interval matters, because a line more could be deleted,
+its members are named by the lengths up to the next power as well.
 
 A run is deleted where it is a later copy and long enough: `min_words` words in all.
 Names are hashes of what they stand for, so neighbours know each other's names without
@@ -30,51 +29,56 @@ PART_BYTES = 8 << 20
 #: Names that a worker holds before it sends them.
 HELD_NAMES = 1_000_000
 
-_NAME = (("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("length", np.uint32))
+_NAME = (("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("length", np.uint32), ("flag", np.uint8))
 _HIT = _NAME[1:]
-_STATE = "part long, doc long, tag long, ids binary, words binary, length binary, step binary"
-
-
-def _emit(batches, keys: int, parts: int, first: bool):
-    """Names of the runs on trial, by bucket; runs with an earlier copy at hand are hits at once."""
-    held: list[dict] = []
-    n = 0
-
-    def sent():
-        if not held:
-            return
-        t = {c: np.concatenate([h[c] for h in held]) for c, _ in _NAME}
-        held.clear()
-        by, own = _first_of(t["ident"], t["doc"], t["tag"], t["start"])
-        t = {c: x[by] for c, x in t.items()}
-        hit = ~own & ~_twins(t, own)
-        rows = _dealt(t, _NAME, (t["ident"] % np.uint64(keys)).astype(np.int64), 0, own)
-        rows += _dealt(t, _HIT, -1 - _part(t["doc"], t["tag"], parts), 1, hit)
-        for i in range(0, len(rows), 512):
-            yield from _table(rows[i : i + 512]).to_batches()
-
-    for batch in batches:
-        col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-        doc, tag = np.asarray(col["doc"]), np.asarray(col["tag"])
-        for i in range(batch.num_rows):
-            ids = np.frombuffer(col["ids"][i].as_buffer(), np.uint64)
-            spans = blocks.Spans(ids, seed=41)
-            at = np.arange(len(ids), dtype=np.int64)
-            if first:
-                trials = [(at[: len(ids) - w + 1], np.full(len(ids) - w + 1, w)) for w in (1 << j for j in range(len(ids).bit_length()))]
-                start, length = (np.concatenate(x) for x in zip(*trials, strict=True)) if trials else (at, at)
-            else:
-                step = np.frombuffer(col["step"][i].as_buffer(), np.int32)
-                start = np.flatnonzero(step)
-                length = np.frombuffer(col["length"][i].as_buffer(), np.int32)[start].astype(np.int64) + step[start]
-            if len(start):
-                k = len(start)
-                held.append({"ident": spans.hash(start, start + length), "doc": np.full(k, doc[i]), "tag": np.full(k, tag[i], np.uint32), "start": start, "length": length})
-                n += k
-        if n > HELD_NAMES:
-            yield from sent()
-            n = 0
-    yield from sent()
+#: Of each document: its line IDs and their words; of each line, the lengths of the longest
+#: run from there with an earlier copy and with any copy, and whether more is to be tried.
+_STATE = "part long, doc long, tag long, ids binary, words binary, length binary, any binary, active binary"
+
+
+def _posts(held: list[dict], keys: int, parts: int):
+    """Names by bucket; runs with an earlier copy at hand are hits at once (flag 1: a later copy)."""
+    if not held:
+        return
+    t = {c: np.concatenate([h[c] for h in held]) for c, _ in _NAME if c != "flag"}
+    held.clear()
+    by, own = _first_of(t["ident"], t["doc"], t["tag"], t["start"])
+    t = {c: x[by] for c, x in t.items()}
+    hit = ~own & ~_twins(t, own)
+    first = np.flatnonzero(own)
+    t["flag"] = hit.astype(np.uint8)
+    if len(first):  # the first of a name goes on, and says whether it has a copy here
+        t["flag"][first] = np.maximum.reduceat(t["flag"], first)
+    rows = _dealt(t, _NAME, (t["ident"] % np.uint64(keys)).astype(np.int64), 0, own)
+    rows += _dealt(t, _HIT, -1 - _part(t["doc"], t["tag"], parts), 1, hit)
+    for i in range(0, len(rows), 512):
+        yield _table(rows[i : i + 512])
+
+
+def _names(ids: np.ndarray, start: np.ndarray, length: np.ndarray, doc: int, tag: int) -> dict[str, np.ndarray]:
+    k = len(start)
+    return {"ident": blocks.Spans(ids, seed=41).hash(start, start + length), "doc": np.full(k, doc), "tag": np.full(k, tag, np.uint32), "start": start, "length": length}
+
+
+def _powers(n: int, most: np.ndarray | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """All (start, power of two) of n lines, up to the given length at each start."""
+    starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    w = least
+    while w <= n:
+        at = np.arange(n - w + 1)
+        at = at if most is None else at[most[: len(at)] >= w]
+        starts.append(at)
+        lengths.append(np.full(len(at), w))
+        w *= 2
+    return np.concatenate(starts), np.concatenate(lengths)
+
+
+def _rows_of(batch):
+    """Each row of a batch or table of states, its binary columns as arrays."""
+    col = {n: batch.column(n) for n in batch.schema.names}
+    for i in range(batch.num_rows):
+        raw = lambda c, kind: np.frombuffer(col[c][i].as_buffer(), kind)  # noqa: B023, E731
+        yield col["doc"][i].as_py(), col["tag"][i].as_py(), raw("ids", np.uint64), raw("words", np.uint32), raw("length", np.int32), raw("any", np.int32), raw("active", np.uint8)
 
 
 def _twins(t, own) -> np.ndarray:
@@ -94,57 +98,122 @@ def _covered(length: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _next_steps(length: np.ndarray, step: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """The next extension on trial at each position, 0 where none can delete another line."""
-    n = len(length)
-    out = step >> 1
-    room = n - (np.arange(n) + length)
-    while (over := out > room).any():  # nothing to try beyond the last line
-        out = np.where(over, out >> 1, out)
-    gone = _covered(length, words, least)
-    kept = np.concatenate([[0], np.cumsum(~gone)])
-    at = np.arange(n)
-    reach = np.minimum(n, at + length + np.maximum(2 * out - 1, 0))
-    return np.where(kept[reach] - kept[at] > 0, out, 0).astype(np.int32)
+def _more(length: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Positions where a run between this power of two and the next may delete another line."""
+    n, at = len(length), np.arange(len(length))
+    kept = np.concatenate([[0], np.cumsum(~_covered(length, words, least))])
+    reach = np.minimum(n, at + np.maximum(2 * length - 1, 0))
+    return (length > 1) & (reach > at + length) & (kept[reach] > kept[at])
 
 
-def _round(state: DataFrame, keys: int, parts: int, least: int, first: bool) -> DataFrame:
-    spark = state.sparkSession
+def _hits(names: DataFrame, parts: int) -> DataFrame:
+    """(kind, key, packed): by part, the runs that have a copy, later ones with flag 1."""
 
-    def earlier(table: pa.Table) -> pa.Table:
+    def copies(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py():
             return _table((1, -1 - k, p) for k, p in zip(table.column("key").to_pylist(), table.column("packed").to_pylist(), strict=True))
         t = _unpack(table.column("packed"), _NAME)
         by, own = _first_of(t["ident"], t["doc"], t["tag"], t["start"])
         t = {c: x[by] for c, x in t.items()}
-        return _table(_dealt(t, _HIT, _part(t["doc"], t["tag"], parts), 1, ~own & ~_twins(t, own)))
+        later = ~own & ~_twins(t, own)
+        several = later | (t["flag"] > 0)
+        if len(by):
+            first = np.flatnonzero(own)
+            several[first] = np.maximum.reduceat(several, first)
+        t["flag"] = later.astype(np.uint8)
+        return _table(_dealt(t, _HIT, _part(t["doc"], t["tag"], parts), 1, later | (own & several)))
+
+    return names.groupBy("key").applyInArrow(copies, _FORM)
+
+
+def _updated(state: DataFrame, hits: DataFrame, least: int) -> DataFrame:
+    """state with the longest runs of the hits."""
+    spark = state.sparkSession
 
     def update(left: pa.Table, right: pa.Table) -> pa.Table:
         t = _unpack(left.column("packed"), _HIT)
         by = _order(t["doc"], t["tag"], t["start"], t["length"])
         t = {c: x[by] for c, x in t.items()}
-        doc, tag = np.asarray(right.column("doc")), np.asarray(right.column("tag"))
-        lo, hi = np.searchsorted(t["doc"], doc, "left"), np.searchsorted(t["doc"], doc, "right")
-        lengths, steps = [], []
-        for i in range(len(doc)):
-            words = np.frombuffer(right.column("words")[i].as_buffer(), np.uint32)
-            length = np.frombuffer(right.column("length")[i].as_buffer(), np.int32).copy()
-            step = np.frombuffer(right.column("step")[i].as_buffer(), np.int32)
-            a, b = int(lo[i]), int(hi[i])
-            a, b = a + int(np.searchsorted(t["tag"][a:b], tag[i], "left")), a + int(np.searchsorted(t["tag"][a:b], tag[i], "right"))
-            if b > a:  # the longest hit of a position comes last
-                length[t["start"][a:b]] = t["length"][a:b]
-            lengths.append(length.tobytes())
-            steps.append(_next_steps(length, length if first else step, words, least).tobytes())
-        return pa.table({"part": right.column("part"), "doc": doc, "tag": tag, "ids": right.column("ids"), "words": right.column("words"), "length": pa.array(lengths, pa.binary()), "step": pa.array(steps, pa.binary())})
-
-    names = state.mapInArrow(lambda batches: _emit(batches, keys, parts, first), _FORM)
-    hits = names.groupBy("key").applyInArrow(earlier, _FORM)
+        out: dict[str, list] = {"length": [], "any": [], "active": []}
+        for doc, tag, _ids, words, length, any_, _ in _rows_of(right):
+            a, b = np.searchsorted(t["doc"], [doc, doc + 1]) if doc < 2**63 - 1 else (np.searchsorted(t["doc"], doc), len(by))
+            a, b = a + np.searchsorted(t["tag"][a:b], [tag, tag + 1])
+            length, any_ = length.copy(), any_.copy()
+            start, size, later = t["start"][a:b], t["length"][a:b], t["flag"][a:b] > 0
+            np.maximum.at(any_, start, size.astype(np.int32))
+            np.maximum.at(length, start[later], size[later].astype(np.int32))
+            out["length"].append(length.tobytes())
+            out["any"].append(any_.tobytes())
+            out["active"].append(_more(length, words, least).astype(np.uint8).tobytes())
+        same = {c: right.column(c) for c in ("part", "doc", "tag", "ids", "words")}
+        return pa.table(same | {c: pa.array(x, pa.binary()) for c, x in out.items()})
+
     out = blocks.written(hits.groupBy("key").cogroup(state.groupBy("part")).applyInArrow(update, _STATE), spark)
     blocks.tidy(spark)
     return out
 
 
+def _doubled(state: DataFrame, keys: int, parts: int) -> DataFrame:
+    """Names of all runs of 1, 2, 4, ... lines."""
+
+    def emit(batches):
+        held, n = [], 0
+        for batch in batches:
+            for doc, tag, ids, *_ in _rows_of(batch):
+                start, length = _powers(len(ids))
+                held.append(_names(ids, start, length, doc, tag))
+                n += len(start)
+                if n > HELD_NAMES:
+                    for table in _posts(held, keys, parts):
+                        yield from table.to_batches()
+                    n = 0
+        for table in _posts(held, keys, parts):
+            yield from table.to_batches()
+
+    return state.mapInArrow(emit, _FORM)
+
+
+def _between(state: DataFrame, keys: int, parts: int) -> DataFrame:
+    """Names of the lengths between two powers, of all runs that share an active run's power."""
+
+    def emit(chosen_only):
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for doc, tag, ids, _, length, any_, active in _rows_of(batch):
+                    if chosen_only:
+                        start = np.flatnonzero(active)
+                        size = length[start].astype(np.int64)
+                    else:
+                        start, size = _powers(len(ids), any_, 2)
+                    if len(start):
+                        rows.append(_names(ids, start, size, doc, tag))
+                if rows:
+                    t = {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}
+                    part = _part(t["doc"], t["tag"], parts)
+                    cols = [t["ident"].view(np.int64), part, t["doc"], t["tag"].astype(np.int64), t["start"].astype(np.int64), t["length"].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ident", "part", "doc", "tag", "start", "length"])
+
+        return state.mapInArrow(run, "ident long, part long, doc long, tag long, start long, length long")
+
+    wanted = emit(False).join(emit(True).select("ident").distinct(), "ident", "left_semi").drop("ident")
+
+    def names(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([])
+        chosen: dict[tuple[int, int], list] = {}
+        for doc, tag, start, length in zip(*(left.column(c).to_pylist() for c in ("doc", "tag", "start", "length")), strict=True):
+            chosen.setdefault((doc, tag), []).append((start, length))
+        held = []
+        for doc, tag, ids, *_ in _rows_of(right):
+            for start, w in chosen.get((doc, tag), ()):
+                size = np.arange(w + 1, min(2 * w - 1, len(ids) - start) + 1)
+                held.append(_names(ids, np.full(len(size), start), size, doc, tag))
+        return pa.concat_tables([_table([]), *_posts(held, keys, parts)])
+
+    return wanted.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(names, _FORM)
+
+
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text without its repeated lines, and n_lines and n_removed (long).
 
@@ -183,14 +252,12 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             bounds = np.searchsorted(owner, np.arange(len(at)))
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
             zero = cut(np.zeros(len(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(_part(doc, tag, parts)), pa.array(doc), pa.array(tag.astype(np.int64)), cut(ids), cut(words), zero, zero], [f.split()[0] for f in _STATE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(doc, tag, parts)), pa.array(doc), pa.array(tag.astype(np.int64)), cut(ids), cut(words), zero, zero, cut(np.zeros(len(ids), np.uint8))], [f.split()[0] for f in _STATE.split(", ")])
 
     state = blocks.written(placed.filter(F.col("text").isNotNull()).select("text", "_doc", "_tag").mapInArrow(describe, _STATE), spark)
-    state = _round(state, keys, parts, min_words, True)
-    for _ in range(40):
-        if state.filter(~_all_zero("step")).isEmpty():
-            break
-        state = _round(state, keys, parts, min_words, False)
+    state = _updated(state, _hits(_doubled(state, keys, parts), parts), min_words)
+    if not state.filter(F.hex("active").contains("1")).isEmpty():
+        state = _updated(state, _hits(_between(state, keys, parts), parts), min_words)
 
     def gone(batches):
         for b in batches:
@@ -213,10 +280,6 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def _all_zero(column: str):
-    return F.length(F.regexp_replace(F.hex(column), "0", "")) == 0
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that loses all its words goes."""
     out = remove(docs)
