@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from siskin.plans import aggregates, catalogue, changes, joins, leaderboard, ordering, scans, sketched  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(catalogue.ORACLE)
