@@ -53,9 +53,23 @@ def written(df: DataFrame, spark: SparkSession, *by: str, codec: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of df's input files as the optimizer estimates it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage; between large steps it is asked to.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of df's input files as the optimizer estimates them; where it cannot, of its texts."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if told < 1 << 53:
+        return told
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

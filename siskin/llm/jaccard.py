@@ -163,7 +163,7 @@ def _described(docs: DataFrame) -> tuple[DataFrame, Order]:
 
 
 def _lists(docs: DataFrame, order, size: int) -> DataFrame:
-    """(list, first, least, name, n) for every list of two or more classes: its members."""
+    """(list, first, least, least_n, members, name, n) for every list of two or more classes: its members."""
     spark = docs.sparkSession
     n_buckets = max(12, 2 * size // (8 << 20))
 
@@ -244,24 +244,28 @@ def _lists(docs: DataFrame, order, size: int) -> DataFrame:
                 "list": pa.array(ident[first][which].view(np.int64), pa.int64()),
                 "first": pa.array((token[starts[first]] >> np.uint64(1)).astype(np.int64)[which], pa.int64()),
                 "least": pa.array(name[starts[first]][which], pa.int64()),
+                "least_n": pa.array(size_[starts[first]][which], pa.int32()),
                 "members": pa.array(counts[which], pa.int64()),
                 "name": pa.array(name[at], pa.int64()),
                 "n": pa.array(size_[at], pa.int32()),
             }
         )
 
-    form = "list long, first long, least long, members long, name long, n int"
+    form = "list long, first long, least long, least_n int, members long, name long, n int"
     posts = docs.select("text").mapInArrow(post, "bucket long, posts binary")
     found = posts.groupBy("bucket").applyInArrow(listed, form)
-    merged = found.groupBy("list", "name").agg(F.min("first").alias("first"), F.first("least").alias("least"), F.first("members").alias("members"), F.first("n").alias("n"))
-    return blocks.written(merged, spark)
+    merged = found.groupBy("list", "name").agg(F.min("first").alias("first"), F.first("least").alias("least"), F.first("least_n").alias("least_n"), F.first("members").alias("members"), F.first("n").alias("n"))
+    out = blocks.written(merged, spark)
+    blocks.tidy(spark)
+    return out
 
 
 def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str, make) -> DataFrame:
     """Rows made from one document of each of the named classes.
 
     Documents are read again; a bit table of fixed size, however many names there are,
-    passes over most of the others, and a join drops what it let through.
+    passes over most of the others. What it lets through besides is never asked for, and
+    what two tasks make of one class is the same.
     """
     spark = docs.sparkSession
     wanted = names.select("name").distinct()
@@ -275,22 +279,27 @@ def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str,
     sent = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     def run(batches):
-        f = make()
+        f, seen = make(), set()
         for b in batches:
             key = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - PICK_BITS)
             kept = sent.value[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)
             b = b.filter(pa.array(kept.astype(bool)))
             for _rows, data, at in blocks.slices(iter([b])):
-                yield f(shingles(data, at))
+                own = {name_of(s): s for s in shingles(data, at) if len(s)}
+                own = [(name, s) for name, s in own.items() if name not in seen]
+                seen.update(name for name, _ in own)
+                yield f(own)
 
     made = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, form)
-    return blocks.written(made.join(wanted, "name", "left_semi").dropDuplicates(["name"]), spark)
+    out = blocks.written(made, spark)
+    blocks.tidy(spark)
+    return out
 
 
 def _prefixes(docs, described, names, order):
     def make():
         def f(sets):
-            rows = [(name_of(s), len(s), *order.value.prefix(s)) for s in sets if len(s)]
+            rows = [(name, len(s), *order.value.prefix(s)) for name, s in sets]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64()))],
                 ["name", "n", "matches", "prefix"],
@@ -304,8 +313,7 @@ def _prefixes(docs, described, names, order):
 def _sets(docs, described, names):
     def make():
         def f(sets):
-            sets = [s for s in sets if len(s)]
-            return pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["name", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1].view(np.int64) for x in sets], pa.list_(pa.int64()))], ["name", "shingles"])
 
         return f
 
@@ -336,10 +344,14 @@ def _names(pairs: DataFrame) -> DataFrame:
 
 def _agreeing(docs, described, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs that agree, by prefixes first and then by whole sets."""
-    possible = blocks.written(_possible(pairs, prefixes), docs.sparkSession)
+    spark = docs.sparkSession
+    possible = blocks.written(_possible(pairs, prefixes).distinct(), spark)
+    blocks.tidy(spark)
     if possible.isEmpty():
         return possible
-    return blocks.written(_verified(possible, _sets(docs, described, _names(possible))), docs.sparkSession)
+    out = blocks.written(_verified(possible, _sets(docs, described, _names(possible))), spark)
+    blocks.tidy(spark)
+    return out
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -421,8 +433,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     lists = _lists(docs, order, size)
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * NEED
     # each list's members against its smallest
+    star = lists.filter((F.col("name") != F.col("least")) & fits(F.col("n"), F.col("least_n"))).select(F.col("least").alias("a"), F.col("name").alias("b")).distinct()
     prefixes = _prefixes(docs, described, lists, order)
-    star = lists.filter("name != least").select(F.col("least").alias("a"), F.col("name").alias("b")).distinct()
     links = _agreeing(docs, described, star, prefixes)
     roots = components(links)
     # what is still apart
@@ -430,7 +442,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     x, y = (apart.filter(F.col("members") <= SHORT_LIST).select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "root"))) for s in "ab")
     short = x.join(y, "list").filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
     short = short.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
-    long_ = apart.filter(F.col("members") > SHORT_LIST).join(prefixes.select("name", "matches", "prefix"), "name")
+    long_ = apart.filter(F.col("members") > SHORT_LIST).join(prefixes.select("name", "matches", "prefix"), "name").dropDuplicates(["list", "name"])
     n_parts = F.ceil(F.col("members") / BLOCK)
     part = F.pmod(F.xxhash64("name", F.lit(3)), n_parts)
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), n_parts - 1))
@@ -446,5 +458,15 @@ def cluster(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each component; of equal rows one stays.
+
+    Documents without words are in no component and stay.
+    """
+    kept = cluster(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -81,7 +81,7 @@ def grams(texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarra
 
 def _slot(names: np.ndarray, i: int, size: int) -> np.ndarray:
     """The i-th hash of each name, below size, a power of two."""
-    return ((names * np.uint64(0xD6E8FEB86659FD93 + 0x3C6EF372 * i)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    return (blocks.mixed(names + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 @dataclass
