@@ -32,6 +32,7 @@ LENGTH, Q = 100, 32
 HELD_RUNS = 1_000_000
 #: Runs of one bucket from which its windows are dealt by identifier, not by bucket.
 HOT_BUCKET = 20_000
+HOT_AT_ONCE = 4096
 #: Text, about, of the documents that are edited together.
 PART_BYTES = 8 << 20
 
@@ -222,17 +223,22 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
         hot = (t["ident"] & np.uint64(1)).astype(bool)
         out = []
         key = (t["ident"] >> np.uint64(1)).astype(np.int64)
+
+        def taken(at_):
+            n = lens[at_]
+            return data[np.repeat(begin[at_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
         cold = np.flatnonzero(~hot)
         cold = cold[np.argsort(key[cold], kind="stable")]
         cuts = np.flatnonzero(np.concatenate([[True], key[cold][1:] != key[cold][:-1], [True]])) if len(cold) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at_ = cold[a:b]
-            n = lens[at_]
-            flat = np.repeat(begin[at_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out.append((_TEXTS, int(key[cold[a]]), len(at_).to_bytes(4, "little") + _pack(t, _RUN, at_) + data[flat].tobytes()))
-        at_ = np.flatnonzero(hot)
-        if len(at_):
-            w = _windows(data, begin[at_], t["windows"][at_].astype(np.int64), {c: t[c][at_] for c, _ in _RUN})
+            out.append((_TEXTS, int(key[cold[a]]), len(at_).to_bytes(4, "little") + _pack(t, _RUN, at_) + taken(at_).tobytes()))
+        warm = np.flatnonzero(hot)
+        for i in range(0, len(warm), HOT_AT_ONCE):
+            at_ = warm[i : i + HOT_AT_ONCE]
+            first = np.concatenate([[0], np.cumsum(lens[at_])[:-1]])
+            w = _windows(taken(at_), first, t["windows"][at_].astype(np.int64), {c: t[c][at_] for c, _ in _RUN})
             out += _dealt(w, _WINDOWS_FORM, (w["ident"] % np.uint64(keys)).astype(np.int64), _WINDOWS)
         return _table(out)
 
