@@ -46,9 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote to the shared folder; results that read them must be stored by then."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, spark: SparkSession, *by: str, codec: str = "zstd") -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(spark).rstrip('/')}/siskin-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", codec).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,9 +28,9 @@ STATES = 6
 #: Frequent words with a class of their own (the end is one more), and classes of others.
 TOP, RARE = 4096, 1024
 CLASSES = TOP + 1 + RARE
-#: Documents in the sample that only chooses where training starts, steps on it, and
-#: steps over all training documents.
-START_DOCUMENTS, START_STEPS, STEPS = 400, 25, 2
+#: Documents, and first tokens of each, in the sample that only chooses where training
+#: starts; steps on it, and steps over all training documents.
+START_DOCUMENTS, START_TOKENS, START_STEPS, STEPS = 400, 2000, 25, 2
 #: Tokens whose recursions run side by side, and tokens that are sorted by length at once.
 BATCH_TOKENS, HELD_TOKENS = 300_000, 1_500_000
 #: Text, about, of a chunk.
@@ -355,8 +355,8 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, steps
     """Baum-Welch over the class sequences of all rows that are not held out."""
     spark = encoded.sparkSession
     training = encoded.filter(~F.col("held_out"))
-    sample = training.select("classes", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(START_DOCUMENTS).collect()
-    first = [np.frombuffer(r["classes"], np.uint16)[:2000] for r in sample]
+    sample = training.select(F.substring("classes", 1, 2 * START_TOKENS).alias("classes"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(START_DOCUMENTS).collect()
+    first = [np.frombuffer(r["classes"], np.uint16) for r in sample]
     model = Model.random(states, CLASSES, frequency)
     for _ in range(START_STEPS if first else 0):
         model = improved(expected(model, first)[:3], frequency)

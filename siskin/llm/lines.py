@@ -60,13 +60,13 @@ def _names(ids: np.ndarray, start: np.ndarray, length: np.ndarray, doc: int, tag
     return {"ident": blocks.Spans(ids, seed=41).hash(start, start + length), "doc": np.full(k, doc), "tag": np.full(k, tag, np.uint32), "start": start, "length": length}
 
 
-def _powers(n: int, most: np.ndarray | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """All (start, power of two) of n lines, up to the given length at each start."""
+def _powers(n: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (start, power of two) of n lines, from two lines up to the given length at each start."""
     starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    w = least
+    w = 2
     while w <= n:
         at = np.arange(n - w + 1)
-        at = at if most is None else at[most[: len(at)] >= w]
+        at = at[most[: len(at)] >= w]
         starts.append(at)
         lengths.append(np.full(len(at), w))
         w *= 2
@@ -160,13 +160,16 @@ def _doubled(state: DataFrame, keys: int, parts: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             for doc, tag, ids, *_ in _rows_of(batch):
-                start, length = _powers(len(ids))
-                held.append(_names(ids, start, length, doc, tag))
-                n += len(start)
-                if n > HELD_NAMES:
-                    for table in _posts(held, keys, parts):
-                        yield from table.to_batches()
-                    n = 0
+                w = 1
+                while w <= len(ids):
+                    start = np.arange(len(ids) - w + 1)
+                    held.append(_names(ids, start, np.full(len(start), w), doc, tag))
+                    n += len(start)
+                    w *= 2
+                    if n > HELD_NAMES:
+                        for table in _posts(held, keys, parts):
+                            yield from table.to_batches()
+                        n = 0
         for table in _posts(held, keys, parts):
             yield from table.to_batches()
 
@@ -185,7 +188,7 @@ def _between(state: DataFrame, keys: int, parts: int) -> DataFrame:
                         start = np.flatnonzero(active)
                         size = length[start].astype(np.int64)
                     else:
-                        start, size = _powers(len(ids), any_, 2)
+                        start, size = _powers(len(ids), any_)
                     if len(start):
                         rows.append(_names(ids, start, size, doc, tag))
                 if rows:

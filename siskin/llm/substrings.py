@@ -28,6 +28,8 @@ from siskin.llm import blocks
 
 #: Bytes of a repeated string, and of the q-grams of the initial buckets.
 LENGTH, Q = 100, 32
+#: Windows of a long text that are worked on at once.
+STRETCH = 1 << 20
 #: Runs that a worker holds before it sends them.
 HELD_RUNS = 1_000_000
 #: Runs of one bucket from which its windows are dealt by identifier, not by bucket.
@@ -40,12 +42,24 @@ _AROUND = LENGTH - Q + 1
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def runs(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of windows with one chosen q-gram: row, first window, windows, bucket, identifier."""
+def runs(data: np.ndarray, at: np.ndarray, most: int = STRETCH) -> dict[str, np.ndarray]:
+    """Runs of windows with one chosen q-gram: row, first window, windows, bucket, identifier.
+
+    A long text is worked on in stretches of windows. A run that a stretch cuts in two has
+    other identifiers than whole; its windows are then compared one by one.
+    """
+    parts = []
+    for low in range(0, len(data), most):
+        part = data[low : low + most + LENGTH - 1]
+        if len(part) >= LENGTH:
+            parts.append(_runs(part, np.clip(at - low, 0, len(part)), low))
+    first, windows, bucket, ident = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, k) for k in (np.int64, np.int64, np.uint64, np.uint64)]
+    row = np.searchsorted(at, first, "right") - 1
+    return {"row": row, "start": first - at[row], "windows": windows, "bucket": bucket, "ident": ident}
+
+
+def _runs(data: np.ndarray, at: np.ndarray, low: int) -> tuple[np.ndarray, ...]:
     total = len(data)
-    if total < LENGTH:
-        none = np.zeros(0, np.int64)
-        return {"row": none, "start": none, "windows": none, "bucket": none.astype(np.uint64), "ident": none.astype(np.uint64)}
     spans = blocks.Spans(data, seed=31)
     grams = blocks.mixed((spans.sums[Q:] - spans.sums[:-Q]) * spans.down[: total - Q + 1])
     # one number: hash above, position counted down below, so equal hashes give the rightmost
@@ -66,8 +80,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     new[1:-1] = (chosen[1:] != chosen[:-1]) | (p[1:] != p[:-1] + 1)
     cuts = np.flatnonzero(new)
     first, last = p[cuts[:-1]], p[cuts[1:] - 1]
-    row = np.searchsorted(at, first, "right") - 1
-    return {"row": row, "start": first - at[row], "windows": last - first + 1, "bucket": grams[chosen[cuts[:-1]]], "ident": spans.hash(first, last + LENGTH)}
+    return first + low, last - first + 1, grams[chosen[cuts[:-1]]], spans.hash(first, last + LENGTH)
 
 
 #: Columns of runs as they travel: bucket, identifier, document, its tag, first window, windows.
