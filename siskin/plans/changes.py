@@ -91,3 +91,18 @@ def transaction_facts(spark, d):
         skew = True
     facts = [("a reads its snapshot", before), ("a conflict taints b", tainted), ("b is undone", after), ("a sees its own row", own), ("unseen write skew aborts", skew)]
     return spark.createDataFrame(facts, "fact string, holds boolean")
+
+
+_SQL = "SELECT a.s, count(*) AS n, max(b.v) AS top FROM (SELECT k, s FROM t WHERE k > 20) a INNER JOIN (SELECT k, v FROM t WHERE v IS NOT NULL) b ON a.k = b.k GROUP BY a.s HAVING count(*) > 1"
+
+
+@query(f"WITH t AS ({_T}) {_SQL}")
+def engine_sql_query(spark, d):
+    return _engine(spark, d).sql(_SQL)
+
+
+@query(f"WITH t AS ({_T}) SELECT k, rank() OVER (PARTITION BY s ORDER BY v) AS r FROM t UNION ALL SELECT 0, 0")
+def engine_sql_window(spark, d):
+    e = _engine(spark, d)
+    ranks = e.sql("SELECT k, CAST(rank() OVER (PARTITION BY s ORDER BY v) AS bigint) AS r FROM t")
+    return ranks.unionAll(e.sql("VALUES (0, CAST(0 AS bigint))"))

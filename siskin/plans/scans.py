@@ -111,3 +111,26 @@ def virtual_table_rows(spark, d):
 @query("SELECT count(*) AS rows, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM (SELECT (i + 30000) % 500000 AS x, 10 * ((i + 30000) % 500000) AS y FROM (SELECT unnest(range(0, 1000000)) AS i))")
 def virtual_table_sums(spark, d):
     return tables.virtual(spark, "__mock_t5_1m").agg(F.count(F.lit(1)).alias("rows"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+@query("SELECT n_nationkey * 3 AS times, n_nationkey // 4 AS div, n_nationkey % 4 AS mod, greatest(n_nationkey, n_regionkey) AS hi, least(n_nationkey, n_regionkey) AS lo, sqrt(n_nationkey * n_nationkey) AS root FROM nation")
+def type_math(spark, d):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    half = F.expr("cast(n_nationkey div 4 as int)").alias("div")
+    return table(spark, d, "nation").select((n * 3).alias("times"), half, (n % 4).alias("mod"), F.greatest(n, r).alias("hi"), F.least(n, r).alias("lo"), F.sqrt(n * n).alias("root"))
+
+
+@query("SELECT min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS later FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01'")
+def timestamp_compare(spark, d):
+    o = table(spark, d, "orders").filter(F.col("o_orderdate") > F.expr("TIMESTAMP_NTZ '1995-01-01'"))
+    return o.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("later"))
+
+
+_WORDS = "('true'), ('1'), ('t'), ('false'), ('0'), ('f'), (NULL)"
+
+
+@query(f"SELECT w, CAST(w AS BOOLEAN) AS b, CAST(CAST(w AS BOOLEAN) AS INTEGER) AS i FROM (VALUES {_WORDS}) t(w)")
+def boolean_casts(spark, d):
+    t = tables.values(spark, [("true",), ("1",), ("t",), ("false",), ("0",), ("f",), (None,)], "w string")
+    b = F.col("w").cast("boolean")
+    return t.select("w", b.alias("b"), b.cast("int").alias("i"))
