@@ -13,8 +13,9 @@ class at once; the join works on classes, named by a 64-bit hash of the set.
    smallest one, and these few pairs are verified. Members that are connected by now
    need no more comparison.
 4. In lists whose members are still apart, pairs of different components are compared:
-   by size, by the shared part of their prefixes (counted for blocks of members by
-   matrix products) and the most that the rest can add, and last by their whole sets.
+   in short lists by size, by the shared part of their prefixes and the most that the
+   rest can add, and last by their whole sets; in long lists by whole sets at once, for
+   blocks of members against each other as matrix products.
 
 Every pair that agrees is in some list, and is skipped only if it is connected already,
 so components are exact. Hash collisions aside: with n classes their expected number is
@@ -34,14 +35,17 @@ from siskin.llm import blocks
 from siskin.llm.links import components
 
 WORDS, NEED = 5, 75
-#: The table that orders shingles: 2^22 counts, 4 MB once they are classes.
-ORDER_BITS, ORDER_SLICES = 22, 64
+#: The table that orders shingles: 2^23 counts, 8 MB once they are classes.
+ORDER_BITS, ORDER_SLICES = 23, 64
 #: Longest extra prefix, and the gain in estimated cost that a longer one must bring.
 MOST_MATCHES, GAIN = 8, 1.3
-#: Lists of up to so many members are compared by a join, longer ones in blocks.
-SHORT_LIST, BLOCK = 64, 1024
+#: Lists of up to so many members are compared by a join, longer ones in blocks,
+#: so many shingles at once.
+SHORT_LIST, BLOCK, COLUMNS = 64, 1024, 4096
 #: Posted shingles that a worker holds before it sends them.
 HELD_POSTS = 2_000_000
+#: Text, about, of the posts that are listed together.
+BUCKET_BYTES = 8 << 20
 #: Bits of the filter that picks documents to be read again.
 PICK_BITS = 24
 
@@ -165,7 +169,7 @@ def _described(docs: DataFrame) -> tuple[DataFrame, Order]:
 def _lists(docs: DataFrame, order, size: int) -> DataFrame:
     """(list, first, least, least_n, members, name, n) for every list of two or more classes: its members."""
     spark = docs.sparkSession
-    n_buckets = max(12, 2 * size // (8 << 20))
+    n_buckets = max(12, 2 * size // BUCKET_BYTES)
 
     def post(batches):
         held: list[tuple[np.ndarray, int, int]] = []
@@ -354,54 +358,60 @@ def _agreeing(docs, described, pairs: DataFrame, prefixes: DataFrame) -> DataFra
     return out
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in long lists, each from the list of its first shared shingle."""
+def _in_blocks(rows: DataFrame, order) -> DataFrame:
+    """Agreeing pairs of different components in long lists, each from the list of its first posted shingle.
+
+    Whole sets are compared, a block of members against another by a matrix product, so
+    no pair that disagrees leaves its task.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        part, side = np.asarray(table.column("part")), np.asarray(table.column("side"))
-        n, name, root, least = (np.asarray(table.column(c)) for c in ("n", "name", "root", "matches"))
+        part = np.asarray(table.column("part"))
+        name, root = np.asarray(table.column("name")), np.asarray(table.column("root"))
+        one = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        left = np.flatnonzero(part == table.column("x")[0].as_py())
+        right = left if one else np.flatnonzero(part == table.column("y")[0].as_py())
         first = table.column("first")[0].as_py()
-        prefix = table.column("prefix").combine_chunks()
-        at = np.asarray(prefix.offsets).astype(np.int64)
-        tokens = np.asarray(prefix.values)[at[0] : at[-1]]
+        sets = table.column("shingles").combine_chunks()
+        at = np.asarray(sets.offsets).astype(np.int64)
+        tokens = np.asarray(sets.values)[at[0] : at[-1]].view(np.uint64)
         at = at - at[0]
-        lens = np.diff(at)
-        owner = np.repeat(np.arange(len(n)), lens)
-        one = part[0] == side[0]
-        left = np.flatnonzero(part == table.column("x")[0].as_py()) if not one else np.arange(len(n))
-        right = np.flatnonzero(part == table.column("y")[0].as_py()) if not one else left
-        own, ids = np.unique(tokens, return_inverse=True)
-        often = np.bincount(ids) > 1
-        number = np.cumsum(often) - 1
-        keep = often[ids]
-        ids, holder = number[ids[keep]], owner[keep]
+        n = np.diff(at)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, ids, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        number = np.cumsum(often > 1) - 1
+        kept = often[ids] > 1
+        ids, holder = number[ids[kept]], owner[kept]
+        by = np.argsort(ids, kind="stable")
+        ids, holder = ids[by], holder[by]
+        total = int(number[-1]) + 1 if len(number) else 0
         shared = np.zeros((len(left), len(right)), np.float32)
-        place = np.full(len(n), -1)
-        for low in range(0, int(often.sum()), 4096):
-            mine = (ids >= low) & (ids < low + 4096)
-            width = min(4096, int(often.sum()) - low)
-            place[left] = np.arange(len(left))
-            sel = mine & np.isin(holder, left)
-            a = np.zeros((len(left), width), np.float32)
-            a[place[holder[sel]], ids[sel] - low] = 1
-            if one:
-                b = a
-            else:
-                place[right] = np.arange(len(right))
-                sel = mine & np.isin(holder, right)
-                b = np.zeros((len(right), width), np.float32)
-                b[place[holder[sel]], ids[sel] - low] = 1
-            shared += a @ b.T
-        na, nb = n[left][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
-        rest = np.maximum((n - lens)[left][:, None], (n - lens)[right][None, :])
-        ok = ((100 + NEED) * (shared + rest) >= NEED * (na + nb)) & (shared >= np.minimum(least[left][:, None], least[right][None, :]))
-        ok &= (100 * np.minimum(na, nb) >= NEED * np.maximum(na, nb)) & (root[left][:, None] != root[right][None, :])
+        places = []
+        for side in (left, right):
+            place = np.full(len(n), -1)
+            place[side] = np.arange(len(side))
+            places.append(place)
+        for low in range(0, total, COLUMNS):
+            a, b = np.searchsorted(ids, [low, low + COLUMNS])
+            sides = []
+            for side, place in zip((left, right), places, strict=True):
+                row = place[holder[a:b]]
+                held = np.zeros((len(side), min(COLUMNS, total - low)), np.float32)
+                held[row[row >= 0], ids[a:b][row >= 0] - low] = 1
+                sides.append(held)
+            shared += sides[0] @ sides[1].T
+        whole = n[left][:, None] + n[right][None, :] - shared
+        ok = (100 * shared >= NEED * whole) & (root[left][:, None] != root[right][None, :])
         if one:
             ok &= np.tri(len(left), k=-1, dtype=bool)
         pairs = []
+        posted: dict[int, tuple[np.ndarray, int]] = {}
         for i, j in zip(*np.nonzero(ok), strict=True):
-            a, b = left[i], right[j]
-            common = np.intersect1d(tokens[at[a] : at[a + 1]].view(np.uint64), tokens[at[b] : at[b + 1]].view(np.uint64), assume_unique=True)
+            a, b = int(left[i]), int(right[j])
+            for x in (a, b):
+                if x not in posted:
+                    posted[x] = order.value.prefix(tokens[at[x] : at[x + 1]])
+            common = np.intersect1d(posted[a][0], posted[b][0], assume_unique=True)
             if int(common[0] >> np.uint64(1)) == first:
                 pairs.append((min(name[a], name[b]), max(name[a], name[b])))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
@@ -441,16 +451,18 @@ def cluster(docs: DataFrame) -> DataFrame:
     apart = blocks.written(_apart(lists, roots), spark)
     x, y = (apart.filter(F.col("members") <= SHORT_LIST).select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "root"))) for s in "ab")
     short = x.join(y, "list").filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
-    short = short.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
-    long_ = apart.filter(F.col("members") > SHORT_LIST).join(prefixes.select("name", "matches", "prefix"), "name").dropDuplicates(["list", "name"])
-    n_parts = F.ceil(F.col("members") / BLOCK)
-    part = F.pmod(F.xxhash64("name", F.lit(3)), n_parts)
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), n_parts - 1))
-    long_ = long_.withColumn("part", part).withColumn("side", others)
-    long_ = long_.withColumns({"x": F.least("part", "side"), "y": F.greatest("part", "side")})
-    more = blocks.written(short.unionAll(_in_blocks(long_)).distinct(), spark)
-    found = _agreeing(docs, described, more, prefixes)
-    roots = components(links.unionAll(found))
+    short = blocks.written(short.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct(), spark)
+    found = links.unionAll(_agreeing(docs, described, short, prefixes))
+    long_ = apart.filter(F.col("members") > SHORT_LIST)
+    if not long_.isEmpty():
+        long_ = long_.join(_sets(docs, described, long_), "name").dropDuplicates(["list", "name"])
+        n_parts = F.ceil(F.col("members") / BLOCK)
+        long_ = long_.withColumn("part", F.pmod(F.xxhash64("name", F.lit(3)), n_parts))
+        long_ = long_.withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), n_parts - 1)))
+        long_ = long_.withColumns({"x": F.least("part", "side"), "y": F.greatest("part", "side")})
+        found = found.unionAll(blocks.written(_in_blocks(long_, order), spark))
+        blocks.tidy(spark)
+    roots = components(found)
     # a class's smallest document, then a component's
     known = described.join(roots, described["name"] == roots["node"], "left").withColumn("root", F.coalesce("root", "name"))
     least = known.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
