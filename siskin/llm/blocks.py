@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -123,18 +123,22 @@ class Powers:
 class Spans:
     """64-bit polynomial hashes of any spans of a symbol sequence."""
 
-    _powers: dict[int, Powers] = {}
+    #: One base for all seeds; a seed has its own numbers for the symbols.
+    _powers = Powers(int(numbered(1, 1)[0]))
     _tables: dict[int, np.ndarray] = {}
 
     def __init__(self, symbols: np.ndarray, seed: int = 1):
         """symbols: bytes, or unsigned 64-bit numbers that are already well mixed."""
-        if seed not in self._powers:
-            self._powers[seed] = Powers(int(numbered(1, seed)[0]))
-            self._tables[seed] = numbered(256, seed + 1000)
-        up, self.down = self._powers[seed].of(len(symbols) + 1)
-        terms = self._tables[seed][symbols] if symbols.dtype == np.uint8 else symbols
+        up, self.down = self._powers.of(len(symbols) + 1)
+        if symbols.dtype == np.uint8:
+            if seed not in self._tables:
+                self._tables[seed] = numbered(256, seed + 1000)
+            terms = self._tables[seed][symbols]
+            terms *= up[: len(symbols)]
+        else:
+            terms = symbols * up[: len(symbols)]
         self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(terms * up[: len(symbols)], out=self.sums[1:])
+        np.cumsum(terms, out=self.sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         x = (self.sums[ends] - self.sums[starts]) * self.down[starts]
@@ -217,6 +221,7 @@ def with_columns(docs: DataFrame, added: str, make, text: str = "text", most: in
         for rows, data, at in slices(batches, text, most):
             arrays = [rows.column(i) for i in range(n)] + [pa.array(x) for x in f(rows, data, at)]
             yield pa.RecordBatch.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip(arrays, arrow, strict=True)], names=[t.name for t in arrow])
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return docs.select(*wanted).mapInArrow(run, schema)
 

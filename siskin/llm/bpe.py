@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siskin.llm import blocks
 
 #: Words whose encodings a worker keeps; it starts anew when they are full.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 400_000
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 
 
@@ -52,7 +52,9 @@ def _byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder for one tokenizer file, with the encodings of words seen lately."""
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, kept: int = KEPT_WORDS, texts: bool = True):
+        """kept: words whose encodings are kept; texts: whether their decodings are as well."""
+        self.texts = texts
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -140,7 +142,7 @@ class Codec:
         key = a << 20 | b
         got = self.follows.get(key)
         if got is None:
-            if len(self.follows) > 4_000_000:
+            if len(self.follows) > 500_000:
                 self.follows.clear()
             got = self.follows[key] = self._seam(a, b, 1 << 30)
         return got
@@ -185,7 +187,7 @@ class Codec:
         while at and at << 8 | byte not in trie:
             at = self._fail[at]
         to = trie.get(at << 8 | byte, 0)
-        if len(self._step) > len(trie) + 2_000_000:
+        if len(self._step) > len(trie) + 200_000:
             self._step = dict(trie)
         self._step[state << 8 | byte] = to
         return to
@@ -274,8 +276,9 @@ class Codec:
             self.ptr = np.concatenate([self.ptr, np.zeros_like(self.ptr)])
         self.ids[start : start + len(flat)] = flat
         self.ptr[self.known + 1 : self.known + len(names) + 1] = start + np.cumsum(lens)
-        shown = self.shown
-        self.text += [" ".join([shown[x] for x in e]) for e in encoded]
+        if self.texts:
+            shown = self.shown
+            self.text += [" ".join([shown[x] for x in e]) for e in encoded]
         left, slot = np.arange(len(names)), (names >> self._shift).astype(np.int64)
         while len(left):
             free = self._keys[slot] == 0
@@ -413,14 +416,14 @@ class Codec:
         return " ".join([self.shown[i] for i in ids])
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, texts: bool = False) -> Codec:
     """This worker's codec; it stays for later tasks."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if (path, texts) not in _codecs:
+        _codecs[path, texts] = Codec(path, texts=texts)
+    return _codecs[path, texts]
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -463,7 +466,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     blocks.ship(docs.sparkSession)
 
     def make():
-        use = codec(path)
+        use = codec(path, True)
 
         def run(rows, data, at):
             numbers, bounds = use.numbers(blocks.texts_of(rows))

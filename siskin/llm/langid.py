@@ -29,6 +29,8 @@ NAME_BITS = 20
 HASHES, SLOTS_PER_GRAM = 3, 12
 #: Counting tables that a worker keeps at once, one a language.
 LIVE_TABLES = 16
+#: Bytes of text whose grams are worked on at once.
+SLICE_BYTES = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -168,7 +170,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", min_share
                     yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(table[part], pa.int64())], ["lang", "gram", "n"])
             tables.clear()
 
-        for rows, _, _ in blocks.slices(batches, "text"):
+        for rows, _, _ in blocks.slices(batches, "text", SLICE_BYTES):
             labels = np.array(rows.column(1).to_pylist(), object)
             texts = blocks.texts_of(rows)
             for one in dict.fromkeys(labels):
@@ -203,7 +205,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return run
 
-    return blocks.with_columns(docs, "lang_pred string, score double", make, text)
+    return blocks.with_columns(docs, "lang_pred string, score double", make, text, SLICE_BYTES)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
