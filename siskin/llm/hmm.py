@@ -240,27 +240,33 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
 def _lexicon(counted: DataFrame) -> Lexicon:
     spark = counted.sparkSession
 
-    def best(batches):
-        for b in batches:
-            t = _unpack(b.column(0).to_pylist())
-            n = min(TOP, len(t["word"]))
-            at = np.argpartition(-t["count"], n - 1)[:n] if n else np.zeros(0, np.int64)
-            at = at[t["word"][at] != END]
-            yield pa.RecordBatch.from_arrays([pa.array(t["word"][at].view(np.int64)), pa.array(t["count"][at]), pa.array(t["cls"][at].astype(np.int32))], ["word", "count", "cls"])
-
-    top = counted.select("packed").mapInArrow(best, "word long, count long, cls int").orderBy(F.desc("count"), "word").limit(TOP).collect()
-
     def sums(batches):
-        tokens, kinds, end = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), 0
+        tokens, kinds, sized = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), np.zeros(64, np.int64)
         for b in batches:
             t = _unpack(b.column(0).to_pylist())
             tokens += np.bincount(t["cls"], t["count"], CLASSES).astype(np.int64)
             kinds += np.bincount(t["cls"], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tokens), pa.array(kinds)], ["cls", "tokens", "kinds"])
+            sized += np.bincount(np.frexp(t["count"].astype(float))[1], minlength=64)
+        # below the classes: how many words have a count of so many bits
+        yield pa.RecordBatch.from_arrays([pa.array(range(-64, CLASSES), pa.int32()), pa.array(np.concatenate([np.zeros(64, np.int64), tokens])), pa.array(np.concatenate([sized, kinds]))], ["cls", "tokens", "kinds"])
 
-    in_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    in_class, kinds, sized = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(64)
     for r in counted.select("packed").mapInArrow(sums, "cls int, tokens long, kinds long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect():
-        in_class[r["cls"]], kinds[r["cls"]] = r["tokens"], r["kinds"]
+        if r["cls"] < 0:
+            sized[r["cls"] + 64] = r["kinds"]
+        else:
+            in_class[r["cls"]], kinds[r["cls"]] = r["tokens"], r["kinds"]
+    # the most bits that enough words have: few more than TOP are left to be ordered
+    enough = np.flatnonzero(np.cumsum(sized[::-1])[::-1] > TOP)
+    least = 1 << max(0, int(enough[-1]) - 1) if len(enough) else 0
+
+    def best(batches):
+        for b in batches:
+            t = _unpack(b.column(0).to_pylist())
+            at = np.flatnonzero((t["count"] >= least) & (t["word"] != END))
+            yield pa.RecordBatch.from_arrays([pa.array(t["word"][at].view(np.int64)), pa.array(t["count"][at]), pa.array(t["cls"][at].astype(np.int32))], ["word", "count", "cls"])
+
+    top = counted.select("packed").mapInArrow(best, "word long, count long, cls int").orderBy(F.desc("count"), "word").limit(TOP).collect()
     lexicon = Lexicon(int(in_class.sum()), int(kinds.sum()), np.array([r["word"] for r in top], np.int64).view(np.uint64), in_class, kinds)
     place = {w: i for i, w in enumerate(lexicon.top.tolist())}
     for r in top:  # a frequent word leaves the class of its last letters
