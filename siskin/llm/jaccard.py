@@ -43,9 +43,9 @@ MOST_MATCHES, GAIN = 8, 1.3
 #: so many shingles at once.
 SHORT_LIST, BLOCK, COLUMNS = 64, 1024, 4096
 #: Posted shingles that a worker holds before it sends them.
-HELD_POSTS = 2_000_000
+HELD_POSTS = 1_000_000
 #: Text, about, of the posts that are listed together.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Bits of the filter that picks documents to be read again.
 PICK_BITS = 24
 
@@ -156,7 +156,7 @@ def _described(docs: DataFrame) -> tuple[DataFrame, Order]:
 
     # sums of fixed-size slices in two steps, so no task has all partitions' counts
     form = "slice int, part int, wide boolean, counts binary"
-    parts = both.filter("slice is not null").select("slice", (F.xxhash64("counts") % 32).cast("int").alias("part"), F.lit(False).alias("wide"), "counts")
+    parts = both.filter("slice is not null").select("slice", F.pmod(F.xxhash64("counts"), F.lit(8)).cast("int").alias("part"), F.lit(False).alias("wide"), "counts")
     parts = parts.groupBy("slice", "part").applyInArrow(summed, form)
     totals = parts.groupBy("slice").applyInArrow(summed, form)
     counts = np.zeros(1 << ORDER_BITS, np.uint64)
@@ -406,14 +406,24 @@ def _in_blocks(rows: DataFrame, order) -> DataFrame:
             ok &= np.tri(len(left), k=-1, dtype=bool)
         pairs = []
         posted: dict[int, tuple[np.ndarray, int]] = {}
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
         for i, j in zip(*np.nonzero(ok), strict=True):
             a, b = int(left[i]), int(right[j])
+            if top(int(root[a])) == top(int(root[b])):  # connected by pairs that go out already
+                continue
             for x in (a, b):
                 if x not in posted:
                     posted[x] = order.value.prefix(tokens[at[x] : at[x + 1]])
             common = np.intersect1d(posted[a][0], posted[b][0], assume_unique=True)
             if int(common[0] >> np.uint64(1)) == first:
                 pairs.append((min(name[a], name[b]), max(name[a], name[b])))
+                up[top(int(root[a]))] = top(int(root[b]))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return rows.groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
