@@ -11,7 +11,8 @@ word counts behind it are gathered from all training documents and grow with the
    classes, and its class sequence.
 3. Expectation steps run over the class sequences of each partition (scaled forward and
    backward recursions, all documents of a batch side by side), and their counts are
-   summed over partitions. First steps on a bounded sample only choose where to start.
+   summed over partitions. The first model is seeded noise around the class frequencies;
+   every step reads all training documents whole.
 4. The forward recursion gives each document's exact likelihood.
 """
 
@@ -28,9 +29,9 @@ STATES = 6
 #: Frequent words with a class of their own (the end is one more), and classes of others.
 TOP, RARE = 4096, 1024
 CLASSES = TOP + 1 + RARE
-#: Documents, and first tokens of each, in the sample that only chooses where training
-#: starts; steps on it, and steps over all training documents.
-START_DOCUMENTS, START_TOKENS, START_STEPS, STEPS = 400, 2000, 25, 2
+#: Most steps over all training documents, and the gain in log likelihood a token (in nats)
+#: below which they end before that.
+STEPS, LEAST_GAIN = 8, 1e-4
 #: Tokens whose recursions run side by side, and tokens that are sorted by length at once.
 BATCH_TOKENS, HELD_TOKENS = 300_000, 1_500_000
 #: Text, about, of a chunk.
@@ -358,27 +359,28 @@ def _held(batches, column: int = 0):
 
 
 def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, steps: int = STEPS) -> Model:
-    """Baum-Welch over the class sequences of all rows that are not held out."""
+    """Baum-Welch over the class sequences of all rows that are not held out.
+
+    It ends after `steps` steps, or when a step gained less than LEAST_GAIN nats a token.
+    """
     spark = encoded.sparkSession
     training = encoded.filter(~F.col("held_out"))
-    sample = training.select(F.substring("classes", 1, 2 * START_TOKENS).alias("classes"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(START_DOCUMENTS).collect()
-    first = [np.frombuffer(r["classes"], np.uint16) for r in sample]
-    model = Model.random(states, CLASSES, frequency)
-    for _ in range(START_STEPS if first else 0):
-        model = improved(expected(model, first)[:3], frequency)
+    model, before = Model.random(states, CLASSES, frequency), -np.inf
     for _ in range(steps):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches, sent=sent):
             k = len(sent.value.start)
             start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
+            log = 0.0
             for held in _held(batches):
                 for part in _batches([h[2] for h in held]):
-                    a, b, c, _ = expected(sent.value, [held[i][2] for i in part])
+                    a, b, c, d = expected(sent.value, [held[i][2] for i in part])
                     start += a
                     move += b
                     emit += c
-            packed = [np.concatenate([start[i : i + 1], move[i], emit[i]]).tobytes() for i in range(k)]
+                    log += d
+            packed = [np.concatenate([start[i : i + 1], move[i], emit[i], [log]]).tobytes() for i in range(k)]
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(np.random.default_rng().integers(0, 32, k), pa.int32()), pa.array(packed, pa.binary())], ["state", "part", "packed"])
 
         def add(table: pa.Table) -> pa.Table:
@@ -388,9 +390,14 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, steps
         form = "state int, part int, packed binary"
         sums = training.select("classes").mapInArrow(count, form).groupBy("state", "part").applyInArrow(add, form).groupBy("state").applyInArrow(add, form)
         got = {r["state"]: np.frombuffer(r["packed"], float) for r in sums.collect()}  # one row a state, of fixed size
-        if got:
-            rows = np.stack([got[i] for i in range(states)])
-            model = improved((rows[:, 0], rows[:, 1 : 1 + states], rows[:, 1 + states :]), frequency)
+        if not got:
+            break
+        rows = np.stack([got[i] for i in range(states)])
+        model = improved((rows[:, 0], rows[:, 1 : 1 + states], rows[:, 1 + states : -1]), frequency)
+        tokens, log = rows[:, 1 + states : -1].sum(), rows[0, -1]  # a token's states sum to one
+        if log - before < LEAST_GAIN * tokens:
+            break
+        before = log
     return model
 
 

@@ -249,6 +249,24 @@ def test_scores(docs, rows, empty):
     assert len(untrained) == len(rows) and all(r["n_known"] == 0 for r in untrained)
 
 
+def test_training_reads_whole_documents(spark):
+    rng = np.random.default_rng(6)
+    # the first 2000 tokens of each text are of one kind, the tails of two others
+    seqs = [np.concatenate([rng.integers(0, 9, 2000), rng.integers(10, 19, 700) + 10 * (i % 2)]).astype(np.uint16) for i in range(12)]
+    freq = np.bincount(np.concatenate(seqs), minlength=hmm.CLASSES) + 0.5
+    freq /= freq.sum()
+    rows = [(i, False, s.tobytes()) for i, s in enumerate(seqs)] + [(99, True, seqs[0][::-1].tobytes())]
+    got = hmm.train(spark.createDataFrame(rows, "doc_id long, held_out boolean, classes binary"), freq)
+    want, before, n = hmm.Model.random(hmm.STATES, hmm.CLASSES, freq), -math.inf, sum(map(len, seqs))
+    for _ in range(hmm.STEPS):
+        *counts, log = hmm.expected(want, seqs)
+        want = hmm.improved(tuple(counts), freq)
+        if log - before < hmm.LEAST_GAIN * n:
+            break
+        before = log
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
