@@ -358,6 +358,19 @@ def test_added_and_kept_spans(model):
     assert pii.find([clean], model)[0] == ([], [])
 
 
+AT = [a + at + b for a, b in ("()", "[]", "{}") for at in ("at", "AT", " at ", " AT ", "@", " @ ")] + [" (at) ", " {AT} ", " at ", " AT "]
+DOT = [".", "(dot)", "[DOT]", "{ dot }", " (DOT) ", " [.] ", " dot ", " DOT "]
+
+
+def test_every_hidden_form_is_proposed_without_digits(model):
+    for at in AT:
+        for dot in DOT:
+            core = f"jane{at}example{dot}com"
+            assert ("email", 3, 3 + len(core)) in list(pii.candidates(f"to {core}, she said")), core
+    for core in ("jane (AT) example (DOT) com", "jane [AT] example.com", "jane{at}example.com", "jane AT example DOT com"):
+        assert pii.find([f"write to {core}, she said"], model)[0][1] == [("email", 9, 9 + len(core))], core
+
+
 def test_redaction(docs, empty, clashing, spark, model):
     some = spark.createDataFrame([(1, "to a@b.co and +1 (830) 555-5433."), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["pii_text"] for r in pii.redact(some, model).collect()}
