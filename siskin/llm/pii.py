@@ -17,6 +17,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ from siskin.llm import blocks
 KINDS = ("email", "ip", "card", "phone")
 #: Labelled examples the trees are trained on, and the share held back for calibration.
 EXAMPLES, HELD_BACK = 12_000, 0.3
+#: Candidates whose features are held at once.
+JUDGED = 20_000
 
 Span = tuple[str, int, int]
 
@@ -79,10 +82,12 @@ def base_spans(text: str) -> list[Span]:
 
 # -- candidates ---------------------------------------------------------------------------
 
-_NUMBERS = re.compile(r"(?<![0-9])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}(?![0-9])")
+_NUMBERS = re.compile(r"[0-9]++(?:[ ().\-/]{1,2}[0-9]++)*+")
+_GROUP = re.compile(r"[0-9]+")
 _HIDDEN_AT = re.compile(r"\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?|\s(?:at|AT)\s")
 _HIDDEN_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{1,63}){1,4}")
 _WIDE_AT = re.compile(r"[^\s@<>()\[\]{}\"',;:]{1,64}@[^\s@<>()\[\]{}\"',;:]{1,253}")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][ ().\-/]{1,2}$"), re.compile(r"[ ().\-/]{1,2}[0-9]")
 _BRACKETED = re.compile(r"[(\[{]\s?(?:at|AT|@)\s?[)\]}]")
 _LAST_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
 _HINTS = {
@@ -96,30 +101,36 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.](?:0?\d|1[0-2])[-/.]\d|[0-3]?\d[-/.][01]?
 _GROUPS = re.compile(r"\d+")
 
 
-def candidates(text: str) -> list[Span]:
-    """Proposed spans; one stretch of digits may be proposed as several kinds."""
-    out: list[Span] = []
+def candidates(text: str) -> Iterator[Span]:
+    """Proposed spans; every run of neighbouring groups of digits may be proposed, as several kinds."""
     if "@" in text:
-        out += [("email", m.start(), m.end() - (m[0][-1] in ".!?")) for m in _WIDE_AT.finditer(text)]
+        yield from (("email", m.start(), m.end() - (m[0][-1] in ".!?")) for m in _WIDE_AT.finditer(text))
     if "at" in text or "AT" in text or "@" in text:  # as every form of _HIDDEN_AT has
         for m in _HIDDEN_AT.finditer(text):
             before, after = _LAST_LOCAL.search(text, max(0, m.start() - 64), m.start()), _HIDDEN_HOST.match(text, m.end())
             if before and after:
-                out.append(("email", before.start(), after.end()))
+                yield "email", before.start(), after.end()
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
-            digits = sum(c.isdigit() for c in m[0])
-            parts = _GROUPS.findall(m[0])
-            if 7 <= digits <= 15:
-                out.append(("phone", m.start(), m.end()))
-            if 12 <= digits <= 19:
-                out.append(("card", m.start(), m.end()))
-            if len(parts) == 4 and all(len(p) <= 3 for p in parts):
-                out.append(("ip", m.start(), m.end()))
-    return out
+            if m.end() - m.start() < 7:
+                continue
+            groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+            for i, (start, _) in enumerate(groups):
+                first = start - (text[start - 1 : start] in ("+", "("))
+                digits, longest = 0, 0
+                for n, (a, b) in enumerate(groups[i : i + 19], 1):  # a group has a digit at least
+                    digits, longest = digits + b - a, max(longest, b - a)
+                    if digits > 19:
+                        break
+                    if 7 <= digits <= 15:
+                        yield "phone", first, b
+                    if 12 <= digits:
+                        yield "card", first, b
+                    if n == 4 and 7 <= digits and longest <= 3:
+                        yield "ip", first, b
 
 
-FEATURES = 35
+FEATURES = 37
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -146,6 +157,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(_AGAINST.search(before))), float(bool(_DATE.search(inside))),
         float(len(set(inside) & set(" -./")) > 1), float(len(re.findall(r"(?:\.|dot)", host, re.I))),
         float(bool(re.search(r"[A-Za-z]{2,12}$", inside))), float(bool(_BRACKETED.search(inside))),
+        float(bool(_DIGIT_BEFORE.search(before[-3:]))), float(bool(_DIGIT_AFTER.match(after))),
     ]
 
 
@@ -277,6 +289,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             "phone": lambda: rng.choice([f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28):02}/{rng.randint(1, 12):02}/{rng.randint(1900, 2030)}", num(rng.randint(7, 15)), f"{num(4)}.{num(5)}", f"{num(3)} {num(3)} {num(3)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", f"{num(8)}-{num(4)}", f"{num(16)}", f"{num(2)}.{num(2)}.{num(2)}.{num(2)}"]),
         }[kind]()
 
+    beside = lambda: rng.choice([phone, phone, lambda: card(rng.choice([" ", "-"])), lambda: negative("phone"), lambda: num(rng.randint(1, 6))])()
     rows, labels = [], []
     while len(rows) < n:
         kind, good = rng.choice(KINDS), rng.random() < 0.5
@@ -286,14 +299,18 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             lead += rng.choice(words[kind] if good or rng.random() < 0.2 else ["order", "invoice no", "version", "isbn", "ref", "id", "serial", "page", "token =", "$"]) + " "
         if not good and rng.random() < 0.15:
             lead += rng.choice(["#", "$", "v", "=", '"'])
-        text = lead + core + rng.choice([" ", ". ", ", ", "\n", "*** ", "!! "]) + filler()
+        if rng.random() < 0.25:  # another number stands before it, or after it
+            lead += beside() + rng.choice([" ", " ", ", "])
+        tail = rng.choice([" ", ". ", ", ", "\n", "*** ", "!! "])
+        if rng.random() < 0.25:
+            tail = rng.choice([" ", " ", ", "]) + beside() + tail
+        text = lead + core + tail + filler()
         a, b = len(lead), len(lead) + len(core)
         found = [c for c in candidates(text) if c[1] < b and c[2] > a]
         whole = [c for c in found if c[0] == kind and abs(c[1] - a) <= 1 and abs(c[2] - b) <= 1]
-        for c in found if not good else whole[:1] + [c for c in found if c[0] != kind]:
-            is_other = good and c[0] != kind
+        for c in found:  # a part of a number, or one with its neighbour, is none
             rows.append(features(text, c))
-            labels.append(float(good and not is_other and (kind != "card" or luhn("".join(_GROUPS.findall(core))))))
+            labels.append(float(good and c in whole[:1]))
     return np.array(rows[:n]), np.array(labels[:n])
 
 
@@ -315,7 +332,18 @@ def train(n: int = EXAMPLES, seed: int = 7, precision: float = 0.995) -> Model:
 
 def find(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """Base spans of each text, and all its spans."""
-    base, rows, owner, proposed = [], [], [], []
+    base: list[list[Span]] = []
+    rows: list[list[float]] = []
+    waiting: list[tuple[int, Span]] = []
+    accepted: list[tuple[float, int, Span]] = []
+
+    def judge() -> None:
+        for p, (i, c) in zip(model.trees.probability(np.array(rows)).tolist() if rows else [], waiting, strict=True):
+            if p >= model.least[c[0]]:
+                accepted.append((p, i, c))
+        rows.clear()
+        waiting.clear()
+
     for i, text in enumerate(texts):
         mine = base_spans(text)
         base.append(mine)
@@ -325,18 +353,16 @@ def find(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
             k = bisect_right(starts, (c[2] - 1, 1 << 62))
             if not k or reach[k - 1] <= c[1]:  # it meets no base span
                 rows.append(features(text, c))
-                owner.append(i)
-                proposed.append(c)
+                waiting.append((i, c))
+                if len(rows) == JUDGED:
+                    judge()
+    judge()
     added: dict[int, list[Span]] = {}
-    if rows:
-        p = model.trees.probability(np.array(rows))
-        for j in np.argsort(-p, kind="stable"):
-            kind, start, end = proposed[j]
-            if p[j] < model.least[kind]:
-                continue
-            mine = added.setdefault(owner[j], [])
-            if all(end <= s or e <= start for _, s, e in mine):
-                mine.append(proposed[j])
+    for _, i, c in sorted(accepted, key=lambda x: -x[0]):
+        mine = added.setdefault(i, [])  # by start, and none overlaps another
+        at = bisect_right(mine, c[1], key=lambda s: s[1])
+        if (not at or mine[at - 1][2] <= c[1]) and (at == len(mine) or c[2] <= mine[at][1]):
+            mine.insert(at, c)
     return [(b, sorted(b + added.get(i, []), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))) for i, b in enumerate(base)]
 
 

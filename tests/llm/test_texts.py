@@ -371,6 +371,20 @@ def test_every_hidden_form_is_proposed_without_digits(model):
         assert pii.find([f"write to {core}, she said"], model)[0][1] == [("email", 9, 9 + len(core))], core
 
 
+def test_neighbouring_numbers_are_proposed_apart(model):
+    numbers = ["555-123-4567", "555-987-6543", "(212) 555-0187", "555.444.1234"]
+    row = " ".join(numbers)
+    got = list(pii.candidates(row))
+    for n in numbers:
+        assert ("phone", row.index(n), row.index(n) + len(n)) in got
+    assert len(set(got)) == len(got) and len(list(pii.candidates("1 " * 2000))) < 25 * 2000
+    for text, number in (("call 555-123-4567 555-987-6543 now", "555-123-4567"), ("call 555-123-4567 555-987-6543 now", "555-987-6543"), ("call on 2024-01-05 555-123-4567 then", "555-123-4567")):
+        spans = pii.find([text], model)[0][1]
+        assert ("phone", text.index(number), text.index(number) + len(number)) in spans, (text, spans)
+    text = "card 4012.8888.8888.1881 555-123-4567 now"
+    assert ("card", 5, 24) in pii.find([text], model)[0][1]
+
+
 def test_redaction(docs, empty, clashing, spark, model):
     some = spark.createDataFrame([(1, "to a@b.co and +1 (830) 555-5433."), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["pii_text"] for r in pii.redact(some, model).collect()}
