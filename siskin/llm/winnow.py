@@ -1,7 +1,8 @@
 """Winnowing fingerprints in Spark SQL functions alone.
 
-A text's units are its runs of non-space characters, cut at 32 characters. Every run of
-`k` units is hashed (a shorter text: all of them), and in every window of `w` hashes the
+A text's units are its runs of at most 32 non-space characters. In a longer run a unit is
+a single character, or one character repeated (cut at 32), so units there depend on the
+characters and not on the distance from the run's start. Every run of `k` units is hashed (a shorter text: all of them), and in every window of `w` hashes the
 smallest is selected, the rightmost of equal ones. A hash and its position share one
 64-bit number, hash above and position, counted down, below, so the minimum of a window
 is a plain minimum, taken in log2(w) passes over shifted arrays. Texts that share
@@ -35,9 +36,9 @@ def selected(text: str | Column, k: int = K, w: int = W) -> Column:
     """array<bigint> of a text's selected grams, each its hash and position; null and empty: none."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     # all overlapping grams in one pass: a look-ahead captures k units and the match takes one;
-    # possessive counts keep a unit whole
-    unit = r"\S{1,32}+"
-    grams = F.regexp_extract_all(text, F.lit(rf"(?=({unit}(?:\s*+{unit}){{{k - 1}}}))(?:{unit})"), F.lit(1))
+    # atomic groups keep a unit whole, and a match starts where the one before it ended
+    unit = lambda name: rf"(?>(?<!\S)\S{{1,32}}+(?!\S)|(?<{name}>\S)\k<{name}>{{0,31}}+)"
+    grams = F.regexp_extract_all(text, F.lit(rf"\G\s*+(?=({unit('a')}(?:\s*+{unit('b')}){{{k - 1}}})){unit('c')}"), F.lit(1))
     whole = F.when(text.rlike(r"\S"), F.array(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(F.array().cast("array<string>"))
     keyed = _let(grams, lambda all_: F.transform(F.when(F.size(all_) > 0, all_).otherwise(whole), _key))
 

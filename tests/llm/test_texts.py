@@ -192,6 +192,21 @@ def test_winnowing_against_brute_force(spark, docs, rows):
         assert got[doc_id] == list(dict.fromkeys(windows)), doc_id
 
 
+def test_winnowing_of_unspaced_text_follows_its_content(spark):
+    rng = random.Random(3)
+    runs = ["".join(rng.choice(letters) for _ in range(3000)) for letters in ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "ABCDEFGHijklmnop0123456789+/")]
+    texts = [t for r in runs for t in (r, r[:1] + "x" + r[1:], "short words first " + r[1500:])]
+    passage = runs[0][700:712]  # w + k - 1 characters
+    texts += ["乙" * 40 + passage + "甲" * 40, "some words, then " + "丙丁" * 30 + passage + "戊己" * 30, "a b c", "abc " * 6 + "d" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", winnow.hashes(winnow.selected("text")).alias("h")).collect()
+    h = {r["doc_id"]: set(r["h"]) for r in rows}
+    for first in (0, 3):
+        assert len(h[first] & h[first + 1]) > 0.98 * len(h[first])
+        assert len(h[first] & h[first + 2]) > 0.45 * len(h[first])
+    assert h[6] & h[7] and h[6] & h[0]
+    assert len(h[8]) == 1
+
+
 def test_edited_texts(spark, docs, rows, empty):
     rows = [r for r in rows if r[0] != 88]
     docs = docs.filter("doc_id is null or doc_id != 88")
