@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from siskin.llm import blocks
 #: Words whose encodings a worker keeps; it starts anew when they are full.
 KEPT_WORDS = 400_000
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: Indices of words from here on stand for special tokens.
+_MARK = 1 << 40
 
 
 def default_path() -> str:
@@ -302,8 +304,11 @@ class Codec:
         low = self._library.normalizer.normalize_str(text)
         return [low[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(low)]
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of texts without special tokens, and each text's bounds among them."""
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
+        """Names of the words of texts without special tokens, each text's bounds among them, and the words.
+
+        Words are told by an index: word(index) is the string.
+        """
         low = [(x if unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)).replace("Σ", "σ").lower() for x in texts]
         joined = "\n".join([*low, ""])
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -332,73 +337,68 @@ class Codec:
                     gone[q + 1] = starts[q + 1] == ends[q + 1]
             starts, ends = starts[~gone], ends[~gone]
         names = blocks.Spans(self._symbols[chars], 78).hash(starts, ends) | np.uint64(1)
-        numbers = self._numbers(names, lambda i: joined[starts[i] : ends[i]])
-        bounds = np.searchsorted(starts, at)
-        if odd:
-            parts, sizes = [], []
-            for i in range(len(texts)):
-                parts.append(self._listed(odd[i]) if i in odd else numbers[bounds[i] : bounds[i + 1]])
-                sizes.append(len(parts[-1]))
-            # numbers given before a reset no longer hold
-            if self.known < (max((int(x.max()) for x in parts if len(x)), default=0)):
-                return self._plain(texts)
-            numbers, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
-        return numbers, bounds
+        bounds, index = np.searchsorted(starts, at), np.arange(len(starts))
+        listed = [w for words in odd.values() for w in words]
+        if odd:  # such a text has no word so far: its own go where it stands
+            places = np.repeat([bounds[i] for i in odd], [len(w) for w in odd.values()])
+            names = np.insert(names, places, self._listed(listed))
+            index = np.insert(index, places, -1 - np.arange(len(listed)))
+            sizes = np.diff(bounds)
+            sizes[list(odd)] = [len(w) for w in odd.values()]
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return names, bounds, index, lambda i: joined[starts[i] : ends[i]] if i >= 0 else listed[-1 - i]
 
     def _listed(self, words: list[str]) -> np.ndarray:
+        """Names of words."""
         if not words:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(x) for x in words])
-        names = blocks.Spans(self._symbols[chars], 78).hash(np.concatenate([[0], ends[:-1]]), ends) | np.uint64(1)
-        return self._numbers(names, words.__getitem__)
+        return blocks.Spans(self._symbols[chars], 78).hash(np.concatenate([[0], ends[:-1]]), ends) | np.uint64(1)
+
+    def _numbers(self, names: np.ndarray, encoded) -> np.ndarray:
+        """The number of each name; encoded(places) gives the ids of those that are new.
 
-    def _numbers(self, names: np.ndarray, word) -> np.ndarray:
+        Numbers hold until the next call, which may start anew.
+        """
         out = self._find(names)
         new = np.flatnonzero(out < 0)
         if len(new):
             own, first = np.unique(names[new], return_index=True)
             if self.known and self.known + len(own) > self.kept:
                 self._forget()
-                return self._numbers(names, word)
+                return self._numbers(names, encoded)
             if 2 * (self.known + len(own)) > len(self._keys):  # one slice with more words than are kept
                 self.kept = 2 * (self.known + len(own))
                 self._forget()
-                return self._numbers(names, word)
-            self._add(own, self.encode_words([word(i).encode("utf-8", "surrogatepass") for i in new[first]]))
+                return self._numbers(names, encoded)
+            self._add(own, encoded(new[first]))
             out[new] = self._find(names[new])
         return out
 
-    def _special_number(self, token: str) -> int:
-        name = np.array([(0xABCD << 40) + (self.special[token] << 1)], np.uint64)
-        got = int(self._find(name)[0])
-        if got < 0:
-            self._add(name, [[self.special[token]]])
-            got = int(self._find(name)[0])
-        return got
-
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of texts and each text's bounds among them."""
-        marked = [i for i, x in enumerate(texts) if any(s in x for s in self.special)]
-        if not marked:
-            return self._plain(texts)
-        import re
-
-        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        pieces, owner = [], []
-        inside = set(marked)
-        for i, x in enumerate(texts):
-            for piece in cut.split(x) if i in inside else [x]:
-                pieces.append(piece)
-                owner.append(i)
-        plain = ["" if x in self.special else x for x in pieces]
-        numbers, bounds = self._plain(plain)
-        if self.known + len(self.special) > self.kept:
-            self._forget()
-            return self.numbers(texts)
-        parts = [np.array([self._special_number(x)], np.int32) if x in self.special else numbers[bounds[j] : bounds[j + 1]] for j, x in enumerate(pieces)]
-        sizes = np.bincount(owner, [len(x) for x in parts], len(texts)).astype(np.int64)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+        """Word numbers of texts and each text's bounds among them; special tokens count as words."""
+        owner, pieces = np.arange(len(texts)), texts
+        if any(s in x for x in texts for s in self.special):
+            cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+            parts = [cut.split(x) for x in texts]
+            owner, pieces = np.repeat(owner, [len(p) for p in parts]), [x for p in parts for x in p]
+        marks = np.flatnonzero([x in self.special for x in pieces])
+        names, bounds, index, word = self._words(["" if x in self.special else x for x in pieces])
+        sizes = np.diff(bounds)
+        if len(marks):
+            ids = np.array([self.special[pieces[i]] for i in marks], np.int64)
+            names = np.insert(names, bounds[marks], (np.uint64(0xABCD) << np.uint64(40)) + (ids.astype(np.uint64) << np.uint64(1)))
+            index = np.insert(index, bounds[marks], _MARK + ids)
+            sizes[marks] = 1
+
+        def encoded(places: np.ndarray) -> list[list[int]]:
+            told = index[places].tolist()
+            plain = iter(self.encode_words([word(i).encode("utf-8", "surrogatepass") for i in told if i < _MARK]))
+            return [[i - _MARK] if i >= _MARK else next(plain) for i in told]
+
+        total = np.bincount(owner, sizes, len(texts)).astype(np.int64)
+        return self._numbers(names, encoded), np.concatenate([[0], np.cumsum(total)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of texts, one after another, and each text's bounds among them."""
@@ -486,6 +486,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

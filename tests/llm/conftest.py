@@ -47,6 +47,14 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="session")
+def stored(docs, tmp_path_factory):
+    """The folder of a table documents."""
+    folder = str(tmp_path_factory.mktemp("stored"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

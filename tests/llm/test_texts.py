@@ -95,6 +95,27 @@ def test_bpe_on_random_texts(library):
             assert ids[at[j] : at[j + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("kept", [5, 10, 20, 40, 70, 100])
+def test_bpe_with_a_full_cache_and_odd_characters(library, kept):
+    """Words, special tokens and characters that the tables of Python lack, with a cache that starts anew all the time."""
+    rng = random.Random(kept)
+    codec = bpe.Codec(bpe.default_path(), kept=kept)
+    odd = [chr(i) for i in (0x1C89, 0xA7CB, 0xA7DA, 0x10D40, 0x0378)]
+    make = lambda: rng.choice(["the", "I'll", "naïve", "12ab", *odd, odd[0] + "x", "<|endoftext|>", str(rng.randint(0, 9999)), "".join(rng.choices("abcdefg", k=6))])
+    for _ in range(30):
+        texts = [" ".join(make() for _ in range(rng.randint(0, 30))) for _ in range(6)]
+        ids, at = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op2_query_equals_the_library(spark, stored, rows, library):
+    got = sorted(bpe.query(spark, stored).collect(), key=str)
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    ids = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    want = [(d, len(x), sha(np.array(x, "<u4").tobytes()), sha(library.decode(x, skip_special_tokens=False).encode())) for d, x in ids]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_bpe_edges(empty, clashing):
     assert bpe.encode(empty).count() == 0
     assert bpe.encode(clashing).schema["token_ids"].dataType.simpleString() == "array<int>"
