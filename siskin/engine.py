@@ -1,24 +1,28 @@
 """An SQL engine over versioned tables: queries, changes, and transactions with snapshots.
 
-A table is a list of committed versions, each a Parquet table in the shared folder. A
-row has an identity of two numbers, the statement that inserted it and its place in it.
-A change is a pair of small tables, rows that are new or replaced and identities that
-are gone, so reading in a transaction is the pinned version without the changed
-identities and with the new rows, and a commit applies the change to the latest version.
+A table is a list of committed versions. A row has an identity of two numbers, the
+statement that inserted it and its place in it. A change is a pair of small tables, rows
+that are new or replaced and identities that are gone. A version is a base, written to
+the shared folder, and the changes committed since; reading joins them, and only after
+MERGE_AFTER changes a new base is written. So a commit costs what it changes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siskin.operators.graph import saved
+from siskin.operators.graph import saved, shared_dir
+from siskin.operators.relational import small
 
 ID = ["_stmt", "_row"]
+#: Committed changes that lie over a base before a new base is written.
+MERGE_AFTER = 8
 ISOLATION = ("READ_UNCOMMITTED", "SNAPSHOT_ISOLATION", "SERIALIZABLE")
 
 
@@ -37,8 +41,12 @@ _TYPES = {"bool": T.BooleanType(), "boolean": T.BooleanType(), "int": T.IntegerT
 class Version:
     at: int
     rows: DataFrame
-    #: Identities and old and new images of the rows that this version changed.
+    #: Folders that the rows are read from, and how many changes lie over the base.
+    paths: frozenset[str] = frozenset()
+    changes: int = 0
+    #: Old and new images, with identities, of the rows that this version changed.
     changed: DataFrame | None = None
+    image_paths: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -56,6 +64,9 @@ class Table:
 class Change:
     new: DataFrame | None = None
     gone: DataFrame | None = None
+    #: The rows that are gone, as they were.
+    old: DataFrame | None = None
+    paths: frozenset[str] = frozenset()
 
 
 class Transaction:
@@ -71,6 +82,7 @@ class Engine:
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.indexes: dict[str, tuple[str, str, list[str]]] = {}
+        self.views: dict[str, str] = {}
         self.variables = {"global_isolation_level": "SNAPSHOT_ISOLATION"}
         self.clock = self.statements = self.transactions = 0
         self.active: dict[int, Transaction] = {}
@@ -85,14 +97,24 @@ class Engine:
         change = txn.changes.get(table.name) if txn else None
         return self._applied(rows, change) if change else rows
 
-    def table(self, name: str, txn: Transaction | None = None) -> DataFrame:
-        return self.rows(name, txn or self.current).drop(*ID)
+    def table(self, name: str, txn: Transaction | None = None, where: str | None = None) -> DataFrame:
+        """The table as the transaction sees it; a serializable one must find what it read unchanged at its end."""
+        txn = txn or self.current
+        if txn and txn.isolation == "SERIALIZABLE":
+            txn.read.append((self._table(name).name, where or "true"))
+        rows = self.rows(name, txn).drop(*ID)
+        return rows.filter(where) if where else rows
 
     @staticmethod
     def _applied(rows: DataFrame, change: Change) -> DataFrame:
-        out = rows.join(change.gone, ID, "left_anti") if change.gone is not None else rows
+        out = rows.join(small(change.gone), ID, "left_anti") if change.gone is not None else rows
         return out.unionByName(change.new) if change.new is not None else out
 
+    def _kept(self, df: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+        """df written to the shared folder, and where."""
+        path = f"{shared_dir(self.spark)}/siskin-{uuid.uuid4().hex}"
+        return saved(df, self.spark, path), frozenset([path])
+
     def _table(self, name: str) -> Table:
         if name.lower() not in self.tables:
             raise EngineError(f"no table {name}")
@@ -101,7 +123,7 @@ class Engine:
     # -- tables ---------------------------------------------------------------------------
 
     def create_table(self, name: str, schema: T.StructType, key: list[str] | None = None) -> None:
-        if name.lower() in self.tables:
+        if name.lower() in self.tables or name.lower() in self.views:
             raise EngineError(f"table {name} exists")
         key = [k.lower() for k in key or []]
         for k in key:
@@ -133,8 +155,8 @@ class Engine:
                 raise EngineError(f"{want.name} is {want.dataType.simpleString()}, not {have.dataType.simpleString()}")
         self.statements += 1
         new = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, table.schema, strict=True)))
-        new = saved(new.withColumns({"_stmt": F.lit(self.statements).cast("long"), "_row": F.monotonically_increasing_id()}), self.spark)
-        return self._within(txn, lambda t: self._write(t, table, new, None))
+        new, paths = self._kept(new.withColumns({"_stmt": F.lit(self.statements).cast("long"), "_row": F.monotonically_increasing_id()}))
+        return self._within(txn, lambda t: self._write(t, table, Change(new=new, paths=paths)))
 
     @staticmethod
     def _widens(have: T.DataType, want: T.DataType) -> bool:
@@ -152,10 +174,12 @@ class Engine:
 
         def run(t: Transaction) -> int:
             hit = self.rows(name, t).filter(where)
-            new = hit.select(*(F.expr(assign[f.name.lower()]).cast(f.dataType).alias(f.name) if f.name.lower() in assign else F.col(f.name) for f in table.schema), *ID)
+            after = [(F.expr(assign[f.name.lower()]).cast(f.dataType) if f.name.lower() in assign else F.col(f.name)).alias(f"_new_{i}") for i, f in enumerate(table.schema)]
             t.read.append((table.name, where))
-            new = saved(new, self.spark)
-            return self._write(t, table, new, new.select(*ID))
+            # one pass: rows as they were and as they are to be
+            both, paths = self._kept(hit.select(*table.schema.names, *ID, *after))
+            old, new = both.select(*table.schema.names, *ID), both.select(*(F.col(f"_new_{i}").alias(f.name) for i, f in enumerate(table.schema)), *ID)
+            return self._write(t, table, Change(new, both.select(*ID), old, paths))
 
         return self._within(txn, run)
 
@@ -165,7 +189,8 @@ class Engine:
 
         def run(t: Transaction) -> int:
             t.read.append((table.name, where))
-            return self._write(t, table, None, saved(self.rows(name, t).filter(where).select(*ID), self.spark))
+            old, paths = self._kept(self.rows(name, t).filter(where))
+            return self._write(t, table, Change(None, old.select(*ID), old, paths))
 
         return self._within(txn, run)
 
@@ -186,30 +211,32 @@ class Engine:
                 self.abort(txn)
             raise
 
-    def _write(self, txn: Transaction, table: Table, new: DataFrame | None, gone: DataFrame | None) -> int:
+    def _write(self, txn: Transaction, table: Table, change: Change) -> int:
+        new, gone = change.new, change.gone
         if gone is not None and self._taken(txn, table, gone):
             txn.state = "TAINTED"
             raise TransactionAborted(f"a row of {table.name} was written by another transaction")
         had = txn.changes.get(table.name, Change())
-        kept = had.new.join(gone, ID, "left_anti") if had.new is not None and gone is not None else had.new
-        merged = Change(
-            kept.unionByName(new) if kept is not None and new is not None else new if kept is None else kept,
-            had.gone.unionByName(gone).distinct() if had.gone is not None and gone is not None else gone if had.gone is None else had.gone,
-        )
-        if table.key and new is not None:
-            after = self._applied(table.as_of(txn.at).rows, merged)
-            touched = after.join(F.broadcast(new.select(*table.key).distinct()) if new.count() < 100_000 else new.select(*table.key).distinct(), table.key, "left_semi")
-            if not touched.groupBy(*table.key).count().filter("count > 1").isEmpty():
-                txn.state = "TAINTED"
-                raise TransactionAborted(f"a primary key of {table.name} would be used twice")
+        both = lambda a, b: a.unionByName(b) if a is not None and b is not None else b if a is None else a
+        kept = had.new.join(small(gone), ID, "left_anti") if had.new is not None and gone is not None else had.new
+        merged = Change(both(kept, new), both(had.gone, gone), both(had.old, change.old), had.paths | change.paths)
+        if table.key and new is not None and self._twice(self._applied(table.as_of(txn.at).rows, merged), new, table.key):
+            txn.state = "TAINTED"
+            raise TransactionAborted(f"a primary key of {table.name} would be used twice")
         txn.changes[table.name] = merged
         return (new if new is not None else gone).count()
 
+    @staticmethod
+    def _twice(rows: DataFrame, new: DataFrame, key: list[str]) -> bool:
+        """Whether rows use a key of the new ones more than once; other keys are not looked at."""
+        touched = rows.join(small(new.select(*key).distinct()), key, "left_semi")
+        return not touched.groupBy(*key).count().filter("count > 1").isEmpty()
+
     def _taken(self, txn: Transaction, table: Table, rows: DataFrame) -> bool:
         """Whether any of the rows was written by a transaction this one does not see."""
         others = [c.gone for t in self.active.values() if t is not txn and (c := t.changes.get(table.name)) and c.gone is not None]
         others += [v.changed.select(*ID) for v in table.versions if v.at > txn.at and v.changed is not None]
-        return any(not rows.join(o, ID, "left_semi").isEmpty() for o in others)
+        return any(not rows.join(small(o), ID, "left_semi").isEmpty() for o in others)
 
     # -- transactions ---------------------------------------------------------------------
 
@@ -228,26 +255,31 @@ class Engine:
         if txn.isolation == "SERIALIZABLE" and txn.changes and not self._still_holds(txn):
             self.abort(txn)
             raise TransactionAborted(f"what transaction {txn.number} read has changed")
-        for name in txn.changes:
+        gone = [name for name in txn.changes if name not in self.tables]
+        if gone:
+            self.abort(txn)
+            raise TransactionAborted(f"table {gone[0]} was dropped")
+        for name, change in txn.changes.items():
             table = self.tables[name]
-            if table.key and txn.changes[name].new is not None:
-                merged = self._applied(table.versions[-1].rows, txn.changes[name])
-                if not merged.groupBy(*table.key).count().filter("count > 1").isEmpty():
-                    self.abort(txn)
-                    raise TransactionAborted(f"a primary key of {name} would be used twice")
+            # without a commit in between, the statement's own check still holds
+            if table.key and change.new is not None and table.versions[-1].at > txn.at and self._twice(self._applied(table.versions[-1].rows, change), change.new, table.key):
+                self.abort(txn)
+                raise TransactionAborted(f"a primary key of {name} would be used twice")
         self.clock += 1
         for name, change in txn.changes.items():
             table = self.tables[name]
-            latest = table.versions[-1].rows
-            old = latest.join(change.gone, ID, "left_semi") if change.gone is not None else None
-            images = change.new if old is None else old if change.new is None else old.unionByName(change.new)
-            table.versions.append(Version(self.clock, saved(self._applied(latest, change), self.spark), saved(images, self.spark)))
+            latest = table.versions[-1]
+            rows, paths, changes = self._applied(latest.rows, change), latest.paths | change.paths, latest.changes + 1
+            if changes > MERGE_AFTER:
+                (rows, paths), changes = self._kept(rows), 0
+            images = change.new if change.old is None else change.old if change.new is None else change.old.unionByName(change.new)
+            table.versions.append(Version(self.clock, rows, paths, changes, images, change.paths))
         txn.state = "COMMITTED"
         self._over(txn)
 
     def _still_holds(self, txn: Transaction) -> bool:
         for name, where in txn.read:
-            for v in self.tables[name].versions:
+            for v in self.tables[name].versions if name in self.tables else []:
                 if v.at > txn.at and v.changed is not None and not v.changed.filter(where).isEmpty():
                     return False
         return True
@@ -262,16 +294,81 @@ class Engine:
             self.current = None
 
     def collect_garbage(self) -> int:
-        """Forget versions that no running transaction can see; how many."""
+        """Forget versions that no running transaction can see, and delete files that only they read; how many versions."""
         oldest = min((t.at for t in self.active.values()), default=self.clock)
-        n = 0
+        before, n = self._files(), 0
         for table in self.tables.values():
             seen = table.as_of(oldest).at
             kept = [v for v in table.versions if v.at >= seen]
             n += len(table.versions) - len(kept)
+            kept[0].changed, kept[0].image_paths = None, frozenset()  # who runs sees this version
             table.versions = kept
+        self._remove(before - self._files())
         return n
 
+    def _files(self) -> set[str]:
+        """Folders that versions and running changes read."""
+        versions = [v for table in self.tables.values() for v in table.versions]
+        return {p for v in versions for p in v.paths | v.image_paths} | {p for t in self.active.values() for c in t.changes.values() for p in c.paths}
+
+    def _remove(self, paths: set[str]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_table(self, name: str) -> None:
+        """Remove a table, its indexes and, where no transaction is running, its files."""
+        table, before = self._table(name), self._files()
+        del self.tables[table.name]
+        self.indexes = {k: v for k, v in self.indexes.items() if v[1] != table.name}
+        if not self.active:
+            self._remove(before - self._files())
+
+    def merge(self, name: str, source: DataFrame, on: str, matched: list[tuple[str, dict[str, str] | None]], unmatched: list[str] | None, alias: str = "", txn: Transaction | None = None) -> int:
+        """Change rows of a table that a row of source meets, and insert what meets none; rows changed.
+
+        on, conditions and expressions are SQL over the table's columns (under its name or
+        alias) and source's (as aliased there). matched lists (condition, assignments, or None
+        to delete); the first that holds decides. A row met by two rows of source is an error.
+        """
+        table = self._table(name)
+        target = alias or table.name
+
+        def run(t: Transaction) -> int:
+            t.read.append((table.name, "true"))
+            rows = self.rows(name, t).alias(target)
+            met = rows.join(source, F.expr(on))
+            which = F.lit(None).cast("int")
+            for i, (condition, _) in reversed(list(enumerate(matched))):
+                which = F.when(F.expr(condition), F.lit(i)).otherwise(which)
+            old = [F.col(f"{target}.{c}").alias(c) for c in [*table.schema.names, *ID]]
+            after = []
+            for j, f in enumerate(table.schema):
+                value = F.col(f"{target}.{f.name}")
+                for i, (_, assign) in enumerate(matched):
+                    told = {k.lower(): v for k, v in (assign or {}).items()}.get(f.name.lower())
+                    value = F.when(which == i, F.expr(told).cast(f.dataType)).otherwise(value) if told else value
+                after.append(value.alias(f"_new_{j}"))
+            both, paths = self._kept(met.select(*old, *after, which.alias("_which")).filter("_which is not null"))
+            if not both.groupBy(*ID).count().filter("count > 1").isEmpty():
+                raise EngineError("a row is met by several rows")
+            deleting = [i for i, (_, assign) in enumerate(matched) if assign is None]
+            new = both.filter(~F.col("_which").isin(deleting)) if deleting else both
+            new = new.select(*(F.col(f"_new_{j}").alias(f.name) for j, f in enumerate(table.schema)), *ID)
+            n = both.count()
+            added = None
+            if unmatched is not None:
+                self.statements += 1
+                missing = source.join(rows, F.expr(on), "left_anti").select(*(F.expr(e).cast(f.dataType).alias(f.name) for e, f in zip(unmatched, table.schema, strict=True)))
+                added, more = self._kept(missing.withColumns({"_stmt": F.lit(self.statements).cast("long"), "_row": F.monotonically_increasing_id()}))
+                paths |= more
+                n += added.count()
+            self._write(t, table, Change(new.unionByName(added) if added is not None else new, both.select(*ID), both.select(*table.schema.names, *ID), paths))
+            return n
+
+        return self._within(txn, run)
+
     # -- statements -----------------------------------------------------------------------
 
     def sql(self, text: str) -> DataFrame | None:
@@ -286,7 +383,7 @@ class Engine:
 
     def _statement(self, s: str) -> DataFrame | None:
         word = s.split(None, 1)[0].lower()
-        run = {"insert": self._insert, "update": self._update, "delete": self._delete, "create": self._create, "set": self._set, "show": self._show, "explain": self._explain}
+        run = {"insert": self._insert, "update": self._update, "delete": self._delete, "create": self._create, "drop": self._drop, "merge": self._merge, "set": self._set, "show": self._show, "explain": self._explain}
         if s.startswith("\\"):
             return self._meta(s)
         if word in run:
@@ -306,14 +403,17 @@ class Engine:
         raise EngineError(f"{word} is not supported")
 
     def query(self, s: str) -> DataFrame:
-        """A query over the engine's tables as the current transaction sees them, and over views."""
+        """A query over the engine's tables as the current transaction sees them, and over its views."""
         for name in self.tables:
             if re.search(rf"\b{re.escape(name)}\b", s, re.I):
-                self.table(name).createOrReplaceTempView(name)
+                where = re.fullmatch(rf"\s*select\s+.*?\s+from\s+{re.escape(name)}\s+where\s+(.*?)\s*", s, re.I | re.S)
+                simple = where and not re.search(r"\b(group|order|limit|having|union|join|select)\b", where[1], re.I)
                 if self.current and self.current.isolation == "SERIALIZABLE":
-                    where = re.fullmatch(rf"\s*select\s+.*?\s+from\s+{re.escape(name)}\s+where\s+(.*?)\s*", s, re.I | re.S)
-                    simple = where and not re.search(r"\b(group|order|limit|having|union|join)\b", where[1], re.I)
                     self.current.read.append((name, where[1] if simple else "true"))
+                self.rows(name, self.current).drop(*ID).createOrReplaceTempView(name)
+        for name, text in self.views.items():
+            if re.search(rf"\b{re.escape(name)}\b", s, re.I):
+                self.query(text).createOrReplaceTempView(name)
         return self.spark.sql(s)
 
     def _insert(self, s: str) -> DataFrame:
@@ -341,9 +441,19 @@ class Engine:
             if m[3] and m[3].lower() not in ("bplustree", "hash", "stl_ordered", "stl_unordered"):
                 raise EngineError(f"no kind of index {m[3]}")
             return self.create_index(m[1], m[2], [c.strip() for c in m[4].split(",")])
+        m = re.fullmatch(r"create\s+view\s+(\w+)\s+as\s+(.*)", s, re.I | re.S)
+        if m:
+            if m[1].lower() in self.tables or m[1].lower() in self.views:
+                raise EngineError(f"{m[1]} exists")
+            self.query(m[2])  # a view that cannot be planned is rejected
+            self.views[m[1].lower()] = m[2]
+            return None
+        if re.match(r"create\s+function\b", s, re.I):
+            self.spark.sql(re.sub(r"^create\s+function", "CREATE OR REPLACE TEMPORARY FUNCTION", s, flags=re.I))
+            return None
         m = re.fullmatch(r"create\s+table\s+(\w+)\s*\((.*)\)", s, re.I | re.S)
         if not m:
-            raise EngineError("CREATE TABLE or CREATE INDEX")
+            raise EngineError("CREATE TABLE, INDEX, VIEW or FUNCTION")
         fields, key = [], []
         for part in _split(m[2], ","):
             if k := re.fullmatch(r"primary\s+key\s*\((.*)\)", part, re.I):
@@ -357,6 +467,43 @@ class Engine:
             key += [c[1]] if c[4] else []
         return self.create_table(m[1], T.StructType(fields), key)
 
+    def _drop(self, s: str) -> None:
+        m = re.fullmatch(r"drop\s+(table|view|index)\s+(if\s+exists\s+)?(\w+)", s, re.I)
+        if not m:
+            raise EngineError("DROP TABLE, VIEW or INDEX name")
+        kind, name = m[1].lower(), m[3].lower()
+        held = {"table": self.tables, "view": self.views, "index": self.indexes}[kind]
+        if name not in held:
+            if m[2]:
+                return
+            raise EngineError(f"no {kind} {m[3]}")
+        if kind == "table":
+            self.drop_table(name)
+        else:
+            del held[name]
+
+    def _merge(self, s: str) -> DataFrame:
+        m = re.fullmatch(r"merge\s+into\s+(\w+)(?:\s+(?:as\s+)?(?!using\b)(\w+))?\s+using\s+(\(.*?\)|\w+)\s*(?:\s(?:as\s+)?(?!on\b)(\w+))?\s+on\s+(.*?)(\s+when\s+.*)", s, re.I | re.S)
+        if not m:
+            raise EngineError("MERGE INTO table USING source ON condition WHEN ...")
+        matched, unmatched = [], None
+        for clause in re.split(r"\s+when\s+", m[6], flags=re.I)[1:]:
+            if c := re.fullmatch(r"matched(?:\s+and\s+(.*?))?\s+then\s+(?:update\s+set\s+(.*)|(delete))\s*", clause, re.I | re.S):
+                assign = None if c[3] else {k.strip().rpartition(".")[2]: v.strip() for k, _, v in (p.partition("=") for p in _split(c[2], ","))}
+                matched.append((c[1] or "true", assign))
+            elif c := re.fullmatch(r"not\s+matched\s+then\s+insert\s+values\s*\((.*)\)\s*", clause, re.I | re.S):
+                unmatched = _split(c[1], ",")
+            else:
+                raise EngineError("WHEN MATCHED [AND condition] THEN UPDATE SET or DELETE, WHEN NOT MATCHED THEN INSERT VALUES")
+        if unmatched is not None and len(unmatched) != len(self._table(m[1]).schema):
+            raise EngineError(f"{len(self._table(m[1]).schema)} values expected")
+        source = self.query(f"SELECT * FROM {m[3]}").alias(m[4] or (m[3] if not m[3].startswith("(") else "source"))
+        return self._one("merge_rows", self.merge(m[1], source, m[5], matched, unmatched, m[2] or ""))
+
+    def register(self, name: str, function, returns: str) -> None:
+        """Make a function of pandas Series available in SQL under a name; it runs on Arrow batches."""
+        self.spark.udf.register(name, F.pandas_udf(function, returns))
+
     def _set(self, s: str) -> None:
         m = re.fullmatch(r"set\s+([\w.]+)\s*(?:=|\bto\b)\s*(.+)", s, re.I)
         if not m:

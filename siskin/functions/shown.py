@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: how a NULL of each type is shown
@@ -23,6 +24,21 @@ def cell(value, kind: T.DataType) -> str:
     return str(value)
 
 
+def lines(df: DataFrame, separator: str = " ") -> DataFrame:
+    """One column, line: each row's cells as text, made where the rows are."""
+
+    def told(name: str, kind: T.DataType) -> Column:
+        null = F.lit(next((text for t, text in NULLS if isinstance(kind, t)), "integer_null"))
+        c = F.col(f"`{name}`")
+        if isinstance(kind, T.FractionalType):
+            return F.when(c.isNull(), null).otherwise(F.format_string("%.6f", c.cast("double"))) if not isinstance(kind, T.DecimalType) else F.coalesce(c.cast("string"), null)
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]")), null)
+        return F.coalesce(c.cast("string"), null)
+
+    return df.select(F.concat_ws(separator, *(told(f.name, f.dataType) for f in df.schema)).alias("line"))
+
+
 def vectors(df: DataFrame) -> list[list[str]]:
     """All cells as text. Rows come to the driver: this shows results, it does not process them."""
     kinds = [f.dataType for f in df.schema]

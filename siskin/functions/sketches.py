@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed value: the constant of the cardinality estimate
 HLL_SCALE = 0.79402
@@ -34,8 +35,13 @@ def hll_registers(df: DataFrame, column: str, bits: int = 10) -> DataFrame:
 
 
 def hll_presto_registers(df: DataFrame, column: str, bits: int = 10) -> DataFrame:
-    """(register, rank, dense, overflow): rank is the number of trailing zeros, kept in 4 + 3 bits."""
-    h = F.xxhash64(column)
+    """(register, rank, dense, overflow): rank is the number of trailing zeros, kept in 4 + 3 bits.
+
+    A 64-bit integer (or a shorter one) is its own hash; other values are hashed.
+    """
+    bits = max(bits, 0)
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    h = F.col(column).cast("bigint") if whole else F.xxhash64(column)
     reversed_ = F.reverse(F.lpad(F.bin(h), 64, "0"))
     zeros = F.least(F.when(F.instr(reversed_, "1") == 0, 64 - bits).otherwise(F.instr(reversed_, "1") - 1), F.lit(64 - bits))
     out = df.filter(F.col(column).isNotNull()).select(_top_bits(h, bits).alias("register"), zeros.cast("int").alias("rank")).groupBy("register").agg(F.max("rank").alias("rank"))
@@ -50,12 +56,12 @@ def hll_merge(*registers: DataFrame) -> DataFrame:
 
 
 def hll_estimate(registers: DataFrame, bits: int = 10) -> DataFrame:
-    """One row, estimate: the floor of the scaled harmonic mean; registers without a row count as 0."""
+    """One row, estimate (decimal, as it may pass 64 bits): the floor of the scaled harmonic mean; registers without a row count as 0."""
     if bits < 0:
-        return registers.agg(F.lit(0).cast("bigint").alias("estimate"))
+        return registers.agg(F.lit(0).cast("decimal(20,0)").alias("estimate"))
     m = 1 << bits
     total = F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)) + (F.lit(m) - F.count(F.lit(1)))
-    return registers.agg(F.when(F.count(F.lit(1)) == 0, 0).otherwise(F.floor(F.lit(HLL_SCALE * m * m) / total)).cast("bigint").alias("estimate"))
+    return registers.agg(F.when(F.count(F.lit(1)) == 0, 0).otherwise(F.lit(HLL_SCALE * m * m) / total).cast("decimal(38,6)").alias("e")).select(F.floor("e").cast("decimal(20,0)").alias("estimate"))
 
 
 class CountMin:

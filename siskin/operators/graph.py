@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,19 @@ def two_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
 
 
-def saved(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back, so its lineage ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a default is set only for a session of one process that has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/siskin-{uuid.uuid4().hex}"
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "/tmp/checkpoints"
+
+
+def saved(df: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read back, so its lineage ends."""
+    path = path or f"{shared_dir(spark)}/siskin-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,18 +12,18 @@ from siskin.sources.tables import table
 def _engine(spark, d) -> Engine:
     e = Engine(spark)
     e.sql("CREATE TABLE t(k int, v int, s varchar(32))")
-    o = table(spark, d, "orders").filter("o_orderkey <= 500")
+    o = table(spark, d, "orders")
     e.insert("t", o.select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), "o_orderstatus"))
     return e
 
 
-_T = "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(o_custkey AS INTEGER) AS v, o_orderstatus AS s FROM orders WHERE o_orderkey <= 500"
+_T = "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(o_custkey AS INTEGER) AS v, o_orderstatus AS s FROM orders"
 
 
-@query(f"SELECT * FROM ({_T}) UNION ALL SELECT k + 1000, v, s FROM ({_T}) WHERE v < 60 UNION ALL SELECT 9001, NULL, 'x'")
+@query(f"SELECT * FROM ({_T}) UNION ALL SELECT -k - 1, v, s FROM ({_T}) WHERE v < 60 UNION ALL SELECT NULL, NULL, 'x'")
 def insert_select(spark, d):
     e = _engine(spark, d)
-    e.sql("INSERT INTO t SELECT k + 1000, v, s FROM t WHERE v < 60; INSERT INTO t VALUES (9001, NULL, 'x')")
+    e.sql("INSERT INTO t SELECT -k - 1, v, s FROM t WHERE v < 60; INSERT INTO t VALUES (NULL, NULL, 'x')")
     return e.table("t")
 
 
@@ -50,14 +50,14 @@ def update_pk_shift(spark, d):
     return e.table("p")
 
 
-@query(f"SELECT (SELECT count(*) FROM ({_T})) AS inserted, (SELECT count(*) FROM ({_T}) WHERE k > 250) AS updated, (SELECT count(*) FROM ({_T}) WHERE k <= 250) AS deleted")
+@query(f"SELECT (SELECT count(*) FROM ({_T})) AS inserted, (SELECT count(*) FROM ({_T}) WHERE k % 2 = 0) AS updated, (SELECT count(*) FROM ({_T}) WHERE k % 2 = 1) AS deleted")
 def change_counts(spark, d):
     e = Engine(spark)
     e.sql("CREATE TABLE t(k int, v int, s varchar(32))")
-    o = table(spark, d, "orders").filter("o_orderkey <= 500")
+    o = table(spark, d, "orders")
     n = e.insert("t", o.select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), "o_orderstatus"))
-    u = e.sql("UPDATE t SET v = 0 WHERE k > 250").first()[0]
-    x = e.sql("DELETE FROM t WHERE k <= 250").first()[0]
+    u = e.sql("UPDATE t SET v = 0 WHERE k % 2 = 0").first()[0]
+    x = e.sql("DELETE FROM t WHERE k % 2 = 1").first()[0]
     return spark.createDataFrame([(n, u, x)], "inserted long, updated long, deleted long")
 
 
@@ -79,10 +79,9 @@ def transaction_facts(spark, d):
     e.commit(a)
     after = e.table("m").filter("k = 1").first()["v"] == 11
     x, y = e.begin("SERIALIZABLE"), e.begin("SERIALIZABLE")
-    e.update("m", {"v": "0"}, "k = 1 or v < 0", x)
-    x.read.append(("m", "k = 2"))
-    e.update("m", {"v": "0"}, "k = 2 or v < 0", y)
-    y.read.append(("m", "k = 1"))
+    read_x, read_y = e.table("m", x, where="k = 2").first()["v"], e.table("m", y, where="k = 1").first()["v"]
+    e.update("m", {"v": str(read_x)}, "k = 1", x)
+    e.update("m", {"v": str(read_y)}, "k = 2", y)
     e.commit(x)
     try:
         e.commit(y)
@@ -93,6 +92,39 @@ def transaction_facts(spark, d):
     return spark.createDataFrame(facts, "fact string, holds boolean")
 
 
+@query(f"SELECT k, CASE WHEN k % 5 = 0 THEN v + 1000 ELSE v END AS v, s FROM ({_T}) WHERE k % 7 <> 0 OR k % 5 = 0 UNION ALL SELECT -1 - CAST(c_custkey AS INTEGER), CAST(c_nationkey AS INTEGER), 'c' FROM customer")
+def merge_into(spark, d):
+    e = _engine(spark, d)
+    source = table(spark, d, "orders").filter("o_orderkey % 5 = 0 or o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("int").alias("a"), F.lit(1000).alias("b"), F.lit("o").alias("c"))
+    source = source.unionAll(table(spark, d, "customer").select((-1 - F.col("c_custkey")).cast("int"), "c_nationkey", F.lit("c")))
+    e.merge("t", source.alias("n"), "t.k = n.a", [("n.a % 5 = 0", {"v": "t.v + n.b"}), ("true", None)], ["n.a", "n.b", "n.c"])
+    return e.table("t")
+
+
+@query(f"SELECT s, count(*) AS n, CAST(sum(v * 2) AS BIGINT) AS doubled FROM ({_T}) WHERE v > 30 GROUP BY s")
+def engine_view_and_function(spark, d):
+    e = _engine(spark, d)
+    e.sql("CREATE VIEW late AS SELECT * FROM t WHERE v > 30; CREATE FUNCTION doubled_value(x int) RETURNS int RETURN x * 2")
+    return e.sql("SELECT s, count(*) AS n, sum(doubled_value(v)) AS doubled FROM late GROUP BY s")
+
+
+@query(f"SELECT k, v + 1 AS more FROM ({_T})")
+def registered_function(spark, d):
+    e = _engine(spark, d)
+    e.register("one_more", lambda x: x + 1, "int")
+    return e.sql("SELECT k, one_more(v) AS more FROM t")
+
+
+@query("SELECT * FROM (VALUES ('m', 'k:int, v:int'), ('i1', 'i1(k)'), ('i2', 'i2(k, v)'), ('level', 'SERIALIZABLE')) t(name, told)")
+def engine_catalogue(spark, d):
+    """What the commands show of tables, indexes and variables."""
+    e = Engine(spark)
+    e.sql("CREATE TABLE gone(a int); CREATE TABLE m(k int, v int); CREATE INDEX i1 ON m(k); CREATE INDEX i2 ON m USING hash (k, v); DROP TABLE gone; SET global_isolation_level = SERIALIZABLE")
+    level = e.sql("SHOW global_isolation_level").select(F.lit("level").alias("name"), F.col("global_isolation_level").alias("told"))
+    indexes = e.sql("\\di").select(F.substring_index("told", "(", 1).alias("name"), "told")
+    return e.sql("\\dt").unionAll(indexes).unionAll(level)
+
+
 _SQL = "SELECT a.s, count(*) AS n, max(b.v) AS top FROM (SELECT k, s FROM t WHERE k > 20) a INNER JOIN (SELECT k, v FROM t WHERE v IS NOT NULL) b ON a.k = b.k GROUP BY a.s HAVING count(*) > 1"
 
 

@@ -53,7 +53,7 @@ def join_left_theta_empty(spark, d):
 
 @query("SELECT r_name, n_name FROM region, nation")
 def cross_join(spark, d):
-    return table(spark, d, "region").crossJoin(F.broadcast(table(spark, d, "nation"))).select("r_name", "n_name")
+    return rel.cross_join(table(spark, d, "region"), table(spark, d, "nation")).select("r_name", "n_name")
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -69,13 +69,12 @@ def join_three_way(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
 
 
-@query("SELECT c_custkey, n_name, s_suppkey, r_name FROM (customer JOIN nation ON c_nationkey = n_nationkey) JOIN (supplier JOIN (SELECT n_nationkey AS k, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) x ON s_nationkey = k) ON n_nationkey = s_nationkey WHERE c_custkey < 100")
+@query("SELECT c_name, o_orderkey, l_linenumber, s_name FROM (customer JOIN orders ON c_custkey = o_custkey) JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON o_orderkey = l_orderkey WHERE c_nationkey = s_nationkey")
 def join_bushy_four_way(spark, d):
-    c, n, s, r = (table(spark, d, t) for t in ("customer", "nation", "supplier", "region"))
-    left = c.filter("c_custkey < 100").join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name", "n_nationkey")
-    x = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), "r_name")
-    right = s.join(x, s.s_nationkey == x.k).select("s_suppkey", "r_name", "s_nationkey")
-    return left.join(right, left.n_nationkey == right.s_nationkey).select("c_custkey", "n_name", "s_suppkey", "r_name")
+    c, o, l, s = (table(spark, d, t) for t in ("customer", "orders", "lineitem", "supplier"))
+    left = o.join(c, c.c_custkey == o.o_custkey).select("c_name", "c_nationkey", "o_orderkey")
+    right = l.join(s, l.l_suppkey == s.s_suppkey).select("l_orderkey", "l_linenumber", "s_name", "s_nationkey")
+    return left.join(right, (left.o_orderkey == right.l_orderkey) & (left.c_nationkey == right.s_nationkey)).select("c_name", "o_orderkey", "l_linenumber", "s_name")
 
 
 @query("SELECT r_regionkey, n_nationkey, s_suppkey FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 8) n ON r_regionkey = n_regionkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 20) s ON n_nationkey = s_nationkey")
@@ -98,16 +97,16 @@ def join_null_keys(spark, d):
     return a.join(b, F.col("a.k") == F.col("b.k")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 20) p ON l_partkey = p_partkey WHERE l_orderkey < 300")
+@query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 20) p ON l_partkey = p_partkey")
 def join_index_left(spark, d):
-    l, p = table(spark, d, "lineitem").filter("l_orderkey < 300"), table(spark, d, "part").filter("p_size < 20")
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part").filter("p_size < 20")
     return l.join(p, l.l_partkey == p.p_partkey, "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
-@query("SELECT o_orderkey, c_custkey FROM orders, customer WHERE o_custkey = c_custkey AND o_orderkey < 400 AND c_acctbal > 0")
+@query("SELECT o_orderkey, c_custkey FROM orders, customer WHERE o_custkey = c_custkey AND c_acctbal > 0")
 def filter_over_cross(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.crossJoin(c).filter((o.o_custkey == c.c_custkey) & (o.o_orderkey < 400) & (c.c_acctbal > 0)).select("o_orderkey", "c_custkey")
+    return o.crossJoin(c).filter((o.o_custkey == c.c_custkey) & (c.c_acctbal > 0)).select("o_orderkey", "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

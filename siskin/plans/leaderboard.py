@@ -62,7 +62,15 @@ def lb_composite_filter(spark, d):
     return virtual(spark, "__mock_t1").filter("x >= 90 AND y = 10")
 
 
-@query("SELECT CAST(400000 AS BIGINT) AS n, 149999 AS x4, 1499990 AS y4, 149999 AS x5, 1499990 AS y5, 149999 AS x6, 1499990 AS y6")
+_T4, _T5, _T6 = (
+    f"(SELECT CAST((i + {by}) % 500000 AS INTEGER) AS x{k}, CAST(10 * ((i + {by}) % 500000) AS INTEGER) AS y{k} FROM (SELECT unnest(range(0, 1000000)) AS i))" for k, by in ((4, 0), (5, 30_000), (6, 60_000))
+)
+
+
+@query(
+    f"SELECT count(*) AS n, max(x4) AS x4, max(y4) AS y4, max(x5) AS x5, max(y5) AS y5, max(x6) AS x6, max(y6) AS y6 FROM {_T4} a JOIN {_T5} b ON x4 = x5 JOIN {_T6} c ON y6 = y5 "
+    "WHERE y4 >= 1000000 AND y4 < 1500000 AND x6 >= 100000 AND x6 < 150000"
+)
 def lb_virtual_three_way_join(spark, d):
     a, b, c = (virtual(spark, f"__mock_t{i}_1m").toDF(f"x{i}", f"y{i}") for i in (4, 5, 6))
     a, c = a.filter("y4 >= 1000000 AND y4 < 1500000"), c.filter("x6 < 150000 AND x6 >= 100000")

@@ -10,28 +10,28 @@ from siskin.plans.catalogue import query
 from siskin.sources.tables import table
 
 
-@query("SELECT o_orderkey, o_orderpriority, o_custkey FROM orders ORDER BY o_orderpriority DESC, o_custkey, o_orderkey LIMIT 25")
+@query("SELECT o_orderkey, o_orderpriority, o_custkey FROM orders ORDER BY o_orderpriority DESC, o_custkey, o_orderkey")
 def sort_multi_key(spark, d):
-    return rel.top_n(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), 25, F.desc("o_orderpriority"), "o_custkey", "o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").orderBy(F.desc("o_orderpriority"), "o_custkey", "o_orderkey")
 
 
-@query("SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY nullif(n_regionkey, 2) ASC NULLS FIRST, n_nationkey LIMIT 8")
+@query("SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY nullif(n_regionkey, 2) ASC NULLS FIRST, n_nationkey")
 def sort_nulls(spark, d):
     k = F.nullif(F.col("n_regionkey"), F.lit(2)).alias("k")
-    return rel.top_n(table(spark, d, "nation").select("n_nationkey", k), 8, F.asc("k"), "n_nationkey")
+    return table(spark, d, "nation").select("n_nationkey", k).orderBy(F.asc("k"), "n_nationkey")
 
 
-@query("SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY nullif(n_regionkey, 2) DESC NULLS FIRST, n_nationkey DESC LIMIT 8")
+@query("SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY nullif(n_regionkey, 2) DESC NULLS FIRST, n_nationkey DESC")
 def sort_nulls_placed(spark, d):
     k = F.nullif(F.col("n_regionkey"), F.lit(2)).alias("k")
-    return rel.top_n(table(spark, d, "nation").select("n_nationkey", k), 8, F.desc_nulls_first("k"), F.desc("n_nationkey"))
+    return table(spark, d, "nation").select("n_nationkey", k).orderBy(F.desc_nulls_first("k"), F.desc("n_nationkey"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem ORDER BY l_linenumber, l_orderkey + l_suppkey - l_orderkey DESC, l_orderkey, l_partkey, l_extendedprice LIMIT 30")
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem ORDER BY l_linenumber, l_orderkey + l_suppkey - l_orderkey DESC, l_orderkey, l_partkey, l_extendedprice")
 def sort_expr_key(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     key = (F.col("l_orderkey") + F.col("l_suppkey") - F.col("l_orderkey")).desc()
-    return rel.top_n(l, 30, "l_linenumber", key, "l_orderkey", "l_partkey", "l_extendedprice").drop("l_partkey", "l_extendedprice")
+    return l.orderBy("l_linenumber", key, "l_orderkey", "l_partkey", "l_extendedprice").drop("l_partkey", "l_extendedprice")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from siskin.functions import sketches
@@ -9,30 +11,51 @@ from siskin.plans.catalogue import query
 from siskin.sources.tables import table
 
 
-@query("SELECT true AS within_bound, count(DISTINCT l_partkey) AS exact FROM lineitem")
+# the unbiased constant for 2^8 registers; the structure's own is fixed and larger
+_UNBIASED, _BITS = 0.7213 / (1 + 1.079 / 256), 8
+
+
+@query("SELECT true AS within_bound, count(DISTINCT l_orderkey) AS exact FROM lineitem")
 def hll_estimate(spark, d):
+    """Three standard errors, 1.04 / sqrt(registers) each, once the constant's bias is taken out."""
     l = table(spark, d, "lineitem")
-    estimate = sketches.hll_estimate(sketches.hll_registers(l, "l_partkey", 5), 5)
-    exact = l.agg(F.countDistinct("l_partkey").alias("exact"))
-    error = F.abs(F.col("estimate") - F.col("exact")) / F.col("exact")
-    return estimate.crossJoin(exact).select((error < 0.7).alias("within_bound"), "exact")
+    estimate = sketches.hll_estimate(sketches.hll_registers(l, "l_orderkey", _BITS), _BITS)
+    exact = l.agg(F.countDistinct("l_orderkey").alias("exact"))
+    error = F.abs(F.col("estimate") * F.lit(_UNBIASED / sketches.HLL_SCALE) / F.col("exact") - 1)
+    return estimate.crossJoin(exact).select((error < 3 * 1.04 / 2 ** (_BITS / 2)).alias("within_bound"), "exact")
 
 
-@query("SELECT true AS same FROM region LIMIT 1")
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS more, true AS filled")
 def hll_merge_equals_whole(spark, d):
     l = table(spark, d, "lineitem")
-    parts = [sketches.hll_registers(l.filter(F.col("l_linenumber") % 2 == i), "l_orderkey", 8) for i in (0, 1)]
-    whole = sketches.hll_registers(l, "l_orderkey", 8)
-    merged = sketches.hll_merge(*parts)
-    return merged.exceptAll(whole).agg((F.count(F.lit(1)) == 0).alias("same"))
+    merged = sketches.hll_merge(*(sketches.hll_registers(l.filter(F.col("l_linenumber") % 2 == i), "l_orderkey", _BITS) for i in (0, 1)))
+    whole = sketches.hll_registers(l, "l_orderkey", _BITS)
+    both = merged.withColumnRenamed("rank", "a").join(whole.withColumnRenamed("rank", "b"), "register", "full")
+    return both.agg(
+        F.count_if(F.coalesce(F.col("a") < F.col("b"), F.col("a").isNull())).alias("missing"), F.count_if(F.coalesce(F.col("a") > F.col("b"), F.col("b").isNull())).alias("more"), (F.count("a") > 200).alias("filled")
+    )
+
+
+@query(
+    "SELECT register, CAST(rank % 16 AS INTEGER) AS dense, CAST(rank // 16 AS INTEGER) AS overflow FROM (SELECT v >> 60 AS register, max(CASE WHEN v = 0 THEN 60 ELSE least(strpos(reverse(bin(v)), '1') - 1, 60) END) AS rank "
+    "FROM (SELECT (o_custkey % 8) * 1152921504606846976 + o_orderkey * CAST(pow(2, o_orderkey % 20) AS BIGINT) AS v FROM orders) GROUP BY v >> 60)"
+)
+def hll_presto_registers(spark, d):
+    o = table(spark, d, "orders")
+    v = (F.col("o_custkey") % 8) * F.lit(1 << 60) + F.col("o_orderkey") * F.pow(F.lit(2.0), F.col("o_orderkey") % 20).cast("bigint")
+    return sketches.hll_presto_registers(o.select(v.alias("v")), "v", 4).select("register", "dense", "overflow")
 
 
-@query("SELECT l_returnflag AS flag, count(*) AS exact, true AS not_below FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_partkey AS part, count(*) AS exact, true AS not_below, true AS near FROM lineitem GROUP BY l_partkey")
 def cms_counts(spark, d):
-    l = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    estimates = sketches.CountMin(512, 4).insert(l, "flag").count(l, "flag")
-    exact = l.groupBy("flag").agg(F.count(F.lit(1)).alias("exact"))
-    return estimates.join(exact, "flag").select("flag", "exact", (F.col("estimate") >= F.col("exact")).alias("not_below"))
+    """Thousands of keys; an estimate is never below, and here within the bound e N / width."""
+    l = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "part")
+    width = 1 << 14
+    estimates = sketches.CountMin(width, 6).insert(l, "part").count(l, "part")
+    exact = l.groupBy("part").agg(F.count(F.lit(1)).alias("exact"))
+    total = l.agg(F.count(F.lit(1)).alias("total"))
+    near = F.col("estimate") <= F.col("exact") + F.ceil(F.col("total") * math.e / width)
+    return estimates.join(exact, "part").crossJoin(total).select("part", "exact", (F.col("estimate") >= F.col("exact")).alias("not_below"), near.alias("near"))
 
 
 @query("SELECT o_custkey AS custkey, count(*) AS estimate FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 5")
@@ -49,3 +72,19 @@ def orset_merge(spark, d):
     # b removes what it has seen of 1; what a added under other ids stays
     b = b.remove(spark.createDataFrame([(1,)], "elem int"))
     return a.merge(b).elements()
+
+
+@query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey % 3 <> 0 UNION SELECT -1 ORDER BY key")
+def ordered_set(spark, d):
+    o = table(spark, d, "orders").select("o_custkey")
+    keys = sketches.OrderedSet(o).insert(spark.createDataFrame([(-1,), (-1,)], "k long"))
+    return keys.erase(o.filter("o_custkey % 3 = 0")).ordered()
+
+
+@query("SELECT n_name AS key, CASE WHEN n_nationkey < 15 THEN n_regionkey + 100 ELSE n_regionkey END AS value, n_regionkey AS first FROM nation WHERE n_name LIKE 'NATION_1%' AND n_name <> 'NATION_12'")
+def key_value_versions(spark, d):
+    """A map after puts and a removal, looked up by prefix, beside the version before them."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value"), "n_nationkey")
+    first = sketches.KeyValues(n)
+    later = first.put(n.filter("n_nationkey < 15").withColumn("value", F.col("value") + 100)).remove("NATION_12")
+    return later.starting_with("NATION_1").join(first.entries.withColumnRenamed("value", "first"), "key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siskin.plans import aggregates, catalogue, changes, joins, leaderboard, ordering, scans, sketched  # noqa: F401
+from siskin.plans import aggregates, catalogue, changes, expressions, grouping, joins, leaderboard, ordering, scans, sketched, streams, subqueries, windows  # noqa: F401
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,12 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query in SQL, without a WITH of its own, over tables of a data folder; no view outlives it."""
+    named = {n: table(spark, sf_dir, n) for n in NAMES if re.search(rf"\b{n}\b", text)}
+    return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in named) + " " + text, **named)
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Literal rows."""
     return spark.createDataFrame(rows, schema)

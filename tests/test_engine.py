@@ -38,7 +38,7 @@ def test_null_predicate_keeps_rows(e):
 @pytest.mark.parametrize(
     "text",
     ["INSERT INTO t1 (v1) VALUES (1)", "INSERT INTO t1 VALUES (1, 'x')", "INSERT INTO t1 VALUES ('x', 'x', 1)", "UPDATE t1 SET nope = 1", "UPDATE t1 SET v1 = 1 FROM t1",
-     "DROP TABLE t1", "CREATE TABLE t1(a int)", "CREATE TABLE t(a date)", "CREATE TABLE t(a varchar)", "CREATE TABLE t(a varchar(3) primary key)", "CREATE INDEX i ON t1(v2)",
+     "DROP TABLE nope", "CREATE TABLE t1(a int)", "CREATE TABLE t(a date)", "CREATE TABLE t(a varchar)", "CREATE TABLE t(a varchar(3) primary key)", "CREATE INDEX i ON t1(v2)",
      "CREATE INDEX i ON t1 USING btree (v1)", "COMMIT", "\\nope"],
 )
 def test_rejected(e, text):
@@ -127,3 +127,63 @@ def test_garbage(e):
     e.abort(t)
     assert e.collect_garbage() == 2
     assert e.table("t1").count() == 1
+
+
+def test_a_read_through_the_table_is_validated(e):
+    """Write skew: each reads what the other writes."""
+    a, b = e.begin("SERIALIZABLE"), e.begin("SERIALIZABLE")
+    e.table("t1", a, where="v1 = 1").collect()
+    e.table("t1", b, where="v1 = 0").collect()
+    e.update("t1", {"v3": "1"}, "v1 = 0", a)
+    e.update("t1", {"v3": "1"}, "v1 = 1", b)
+    e.commit(a)
+    with pytest.raises(TransactionAborted):
+        e.commit(b)
+    assert b.state == "ABORTED" and e.table("t1").filter("v3 = 1").count() == 1
+
+
+def test_many_commits_are_merged_and_collected(spark, monkeypatch):
+    from siskin import engine
+
+    monkeypatch.setattr(engine, "MERGE_AFTER", 2)
+    e = Engine(spark)
+    e.sql("CREATE TABLE t(k int primary key, v int); INSERT INTO t VALUES (1, 0), (2, 0), (3, 0)")
+    reader = e.begin()
+    for i in range(1, 6):
+        e.sql(f"UPDATE t SET v = {i} WHERE k = {i % 3 + 1}")
+    assert rows(e.table("t", reader)) == [(1, 0), (2, 0), (3, 0)]
+    want = [(1, 3), (2, 4), (3, 5)]
+    assert rows(e.table("t")) == want and [v.changes for v in e.tables["t"].versions][-1] <= 2
+    assert e.collect_garbage() == 1  # the empty version before the reader's
+    assert rows(e.table("t", reader)) == [(1, 0), (2, 0), (3, 0)] and rows(e.table("t")) == want
+    e.abort(reader)
+    assert e.collect_garbage() == 5 and rows(e.table("t")) == want
+    e.sql("DELETE FROM t WHERE k = 2")
+    assert rows(e.table("t")) == [(1, 3), (3, 5)]
+    e.sql("DROP TABLE t; CREATE TABLE t(a int)")
+    assert e.table("t").count() == 0
+
+
+def test_views_functions_and_merge(e):
+    e.sql("CREATE VIEW big AS SELECT v1, v3 FROM t1 WHERE v3 > 10; CREATE FUNCTION twice(x int) RETURNS int RETURN 2 * x")
+    assert rows(e.sql("SELECT twice(v3) FROM big")) == [(22,), (24,)]
+    e.register("plus_one", lambda s: s + 1, "int")
+    assert rows(e.sql("SELECT plus_one(v3) FROM big")) == [(12,), (13,)]
+    e.sql("CREATE TABLE s(k int, n int); INSERT INTO s VALUES (0, 5), (1, 6), (9, 7)")
+    n = e.sql("MERGE INTO t1 AS t USING s ON t.v1 = s.k WHEN MATCHED AND s.n > 5 THEN DELETE WHEN MATCHED THEN UPDATE SET v3 = t.v3 + s.n WHEN NOT MATCHED THEN INSERT VALUES (s.k, 'new', s.n)")
+    assert n.first()["merge_rows"] == 3
+    assert rows(e.table("t1")) == rows_of([(0, "a", 15), (2, None, 12), (9, "new", 7)])
+    e.sql("INSERT INTO s VALUES (0, 8)")
+    with pytest.raises(EngineError):
+        e.sql("MERGE INTO t1 USING s ON v1 = k WHEN MATCHED THEN UPDATE SET v3 = n")
+    with pytest.raises(EngineError):
+        e.sql("CREATE VIEW big AS SELECT 1")
+    e.sql("DROP VIEW big; DROP TABLE IF EXISTS nothing")
+    with pytest.raises(EngineError):
+        e.sql("DROP VIEW big")
+
+
+def test_arithmetic_errors(spark):
+    for text in ("SELECT 2147483647 + 1", "SELECT 1 / 0", "SELECT 5 % 0", "SELECT CAST(3000000000 AS int)"):
+        with pytest.raises(Exception, match="OVERFLOW|ZERO"):
+            Engine(spark).sql(text).collect()

@@ -112,6 +112,30 @@ def test_writers(spark):
     assert "&lt;b&gt;" in shown.as_html(df) and shown.grid(df).startswith("+")
 
 
+def test_presto_registers_of_integers(spark):
+    def told(bits, *values):
+        r = sketches.hll_presto_registers(spark.createDataFrame([(v,) for v in values], "v long"), "v", bits)
+        return {x["register"]: (x["dense"], x["overflow"]) for x in r.collect()}, int(sketches.hll_estimate(r, bits).first()[0])
+
+    top = -(1 << 63)
+    assert told(1, 262144) == ({0: (2, 1)}, 3)
+    assert told(1, 262144, 0) == ({0: (15, 3)}, 3)
+    registers, estimate = told(1, 262144, 0, -9151314442816847872, -1)
+    assert registers == {0: (15, 3), 1: (8, 3)} and abs(estimate / 227086569448168320 - 1) < 1e-9
+    registers, estimate = told(1, 0, top)
+    assert registers == {0: (15, 3), 1: (15, 3)} and abs(estimate / 14647083729406857216 - 1) < 1e-9
+    assert told(0, 65536)[0] == {0: (0, 1)} and told(0, 65536, top)[0] == {0: (15, 3)} and told(0, 0, top)[0] == {0: (0, 4)}
+    empty = sketches.hll_presto_registers(spark.range(0), "id", 1)
+    assert int(sketches.hll_estimate(empty, 1).first()[0]) == 0
+
+
+def test_result_lines(spark):
+    from siskin.functions import shown as writers
+
+    df = spark.createDataFrame([(1, 1.5, None, True, [1.0]), (None, None, "x", None, None)], "a int, b double, c string, d boolean, e array<double>")
+    assert [r[0] for r in writers.lines(df, "|").collect()] == [writers.text(df.filter("a = 1"), "|"), writers.text(df.filter("a is null"), "|")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
