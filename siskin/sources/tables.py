@@ -7,13 +7,28 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+_schemas: dict[tuple[str, str, int], T.StructType] = {}
+
+
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of a Parquet table, read from a footer once for each time that it changed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+    key = (spark.sparkContext.applicationId, path, changed)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return _schemas[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; columns and filters are pushed into its Parquet scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
