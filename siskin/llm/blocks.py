@@ -7,6 +7,7 @@ holds a few megabytes of intermediate arrays however large its partition is.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "/tmp/checkpoints"
 
@@ -94,6 +95,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def spark_hash(*columns: np.ndarray) -> np.ndarray:
+    """xxhash64 of 64-bit integers as Spark computes it, one column after another."""
+    # fixed values: the primes of the hash function
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = (h + p5 + np.uint64(8)) ^ (turned(c.view(np.uint64) * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def numbered(n: int, seed: int) -> np.ndarray:
     """n pseudo-random 64-bit numbers that depend on seed alone."""
     start = np.uint64((seed * _GOLD) & (2**64 - 1))
@@ -226,5 +242,14 @@ def with_columns(docs: DataFrame, added: str, make, text: str = "text", most: in
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins with `name` and is none of df's, in any case."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def texts_of(rows: pa.RecordBatch, text: str = "text") -> list[str]:
     return ["" if x is None else x for x in rows.column(rows.schema.get_field_index(text)).to_pylist()]

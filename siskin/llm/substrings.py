@@ -2,19 +2,25 @@
 
 Every 100-byte window of a text holds one chosen q-gram: the smallest q-gram hash of the
 window, the rightmost of equal ones. Equal windows choose the same q-gram at the same
-place, so the chosen q-grams are the initial buckets of a suffix sort, about one
-position in 35, and windows in different buckets differ.
-
-A bucket is refined by the identifiers of what lies around its q-gram. Windows next to
-each other with one chosen q-gram form a run; the identifier of a run's whole text
-splits a bucket first. All windows of a run that came before are repeats. Only buckets
-that still hold different runs are refined on: each window's identifier follows from
-the bucket identifiers of the q-grams at its start and at its later offset, the updates
-of neighbouring windows reused. Identifiers are hashes of the bytes they stand for, so a
-position knows the identifier of any later offset without asking for it.
-
-Only runs travel, never windows of unrepeated text, and every step is a sum or a minimum
-by identifier, combined before it is shuffled.
+place, so the chosen q-grams are the first buckets of a suffix sort, about one position
+in 35, and windows in different buckets differ. Windows next to each other with one
+chosen q-gram form a run.
+
+1. Runs of equal text are found by the identifier of their whole text: all windows of a
+   run that came before are repeats. A bucket of which only one run is left is done.
+2. Buckets that hold several runs are refined. Each position's bucket is that of its
+   25-byte gram; windows are sorted by the bucket at their start, and those alone go.
+   The others are sorted by that bucket and the one 25 bytes on; the pairs are numbered
+   anew, at the window's start and 50 bytes on alike, and those alone go. The last sort is
+   by the new number at the start and the new number 50 bytes on: a pair's number serves
+   every window that begins with it or has it at its later offset, and twice two grams are
+   the whole window, so no text is compared.
+
+Names of grams are hashes of the bytes they stand for, so every task gives a gram the
+same name. Only runs travel, never windows of unrepeated text. A bucket with many runs is
+told apart in the tasks of step 1, among which its runs are spread by their texts; its
+windows are then dealt by their names, equal ones within a task combined, so no task has
+all of a bucket.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ LENGTH, Q = 100, 32
 STRETCH = 1 << 20
 #: Runs that a worker holds before it sends them.
 HELD_RUNS = 1_000_000
-#: Runs of one bucket from which its windows are dealt by identifier, not by bucket.
+#: Bytes of the grams whose buckets are refined, a quarter of a window.
+GRAM = LENGTH // 4
+#: Runs of one bucket, about, from which its windows are dealt by name, not by bucket.
 HOT_BUCKET = 20_000
 HOT_AT_ONCE = 4096
 #: Text, about, of the documents that are edited together.
@@ -84,9 +92,12 @@ def _runs(data: np.ndarray, at: np.ndarray, low: int) -> tuple[np.ndarray, ...]:
 
 
 #: Columns of runs as they travel: bucket, identifier, document, its tag, first window, windows.
-_RUN = (("bucket", np.uint32), ("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("windows", np.uint8))
+_RUN = (("bucket", np.uint64), ("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("windows", np.uint8))
 _SPAN = _RUN[2:]
-_WINDOW = (("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32))
+_FIRST = (_RUN[0], *_SPAN)
+_HOT = (_RUN[0],)
+#: Windows: the names of their four grams, and their place.
+_WINDOW = (("g0", np.uint64), ("g1", np.uint64), ("g2", np.uint64), ("g3", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32))
 
 
 def _pack(table: dict[str, np.ndarray], form, at) -> bytes:
@@ -120,13 +131,14 @@ def _table(rows) -> pa.Table:
 
 
 _FORM = "kind int, key long, packed binary"
-#: Kinds of rows: runs by bucket, spans to remove by document, spans to compare by document,
-#: texts of runs by bucket, windows by identifier.
-_RUNS, _REMOVE, _COMPARE, _TEXTS, _WINDOWS = range(5)
+#: Kinds of rows: runs by identifier, spans to remove by document, runs to compare by
+#: document (cold and hot), runs by bucket, hot buckets, texts of runs by bucket, windows by name.
+_RUNS, _REMOVE, _COMPARE, _COMPARE_HOT, _FIRSTS, _HOTS, _TEXTS, _WINDOWS = range(8)
 
 
 def _part(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
-    return (blocks.mixed(doc.view(np.uint64) * np.uint64(3) + tag) % np.uint64(parts)).astype(np.int64)
+    """A document's part, as pmod(xxhash64(doc, tag), parts) gives it."""
+    return np.mod(blocks.spark_hash(doc, tag.astype(np.int64)), parts)
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
@@ -142,6 +154,86 @@ def _first_of(ident: np.ndarray, doc, tag, start) -> tuple[np.ndarray, np.ndarra
     return by, own
 
 
+def _same_place(t, at, other) -> np.ndarray:
+    """Whether entries stand at the same place: equal rows of the table."""
+    return (t["doc"][at] == t["doc"][other]) & (t["tag"][at] == t["tag"][other]) & (t["start"][at] == t["start"][other])
+
+
+def _repeats(t, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries with equal identifiers: which are the first, and which come later at another place."""
+    by, own = _first_of(ident, t["doc"], t["tag"], t["start"])
+    ahead = by[np.maximum.accumulate(np.where(own, np.arange(len(by)), 0))] if len(by) else by
+    first, later = np.zeros(len(by), bool), np.zeros(len(by), bool)
+    first[by[own]] = True
+    later[by] = ~own & ~_same_place(t, by, ahead)
+    return first, later
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of key tuples by a sort, equal ones alike."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    by = _order(*keys)
+    new = np.zeros(len(by), bool)
+    for k in keys:
+        new[1:] |= k[by][1:] != k[by][:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+def _several(number: np.ndarray) -> np.ndarray:
+    """Places of the numbers that occur more than once."""
+    return np.flatnonzero(np.bincount(number)[number] > 1) if len(number) else np.zeros(0, np.int64)
+
+
+def refined(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows that also start earlier, by refining buckets with those of later offsets."""
+    take = lambda at: {c: x[at] for c, x in w.items()}
+    w = take(_several(_numbered(w["g0"])))
+    n = len(w["g0"])
+    # pairs of grams at the start and at the later offset are numbered together
+    pair = _numbered(np.concatenate([w["g0"], w["g2"]]), np.concatenate([w["g1"], w["g3"]]))
+    w["begin"], w["rest"] = pair[:n], pair[n:]
+    w = take(_several(_numbered(w["begin"])))
+    whole = _numbered(w["begin"], w["rest"])
+    at = _several(whole)
+    w = take(at)
+    _, later = _repeats(w, whole[at])
+    return take(later)
+
+
+def _spans(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Neighbouring windows of a document as spans of at most 250."""
+    by = _order(w["doc"], w["tag"], w["start"])
+    w = {c: w[c][by] for c in ("doc", "tag", "start")}
+    if not len(by):
+        return w | {"windows": np.zeros(0, np.uint8)}
+    new = np.ones(len(by), bool)
+    new[1:] = (w["doc"][1:] != w["doc"][:-1]) | (w["tag"][1:] != w["tag"][:-1]) | (w["start"][1:] != w["start"][:-1] + 1)
+    opened = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    new |= (np.arange(len(by)) - opened) % 250 == 0
+    cuts = np.flatnonzero(np.concatenate([new, [True]]))
+    return {c: w[c][cuts[:-1]] for c in ("doc", "tag", "start")} | {"windows": np.diff(cuts)}
+
+
+def _windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All windows of runs whose texts begin at `begin`, each with the names of the grams at its four offsets."""
+    spans = blocks.Spans(data, seed=33)
+    grams = spans.hash(np.arange(len(data) - GRAM + 1), np.arange(GRAM, len(data) + 1)) if len(data) >= GRAM else np.zeros(0, np.uint64)
+    at = np.repeat(np.arange(len(windows)), windows)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
+    p = begin[at] + step
+    return {f"g{i}": grams[p + i * GRAM] for i in range(4)} | {"doc": t["doc"][at], "tag": t["tag"][at], "start": (t["start"][at] + step).astype(np.uint32)}
+
+
+def _name(w: dict[str, np.ndarray]) -> np.ndarray:
+    out = w["g0"]
+    for i in range(1, 4):
+        out = blocks.mixed(out ^ (w[f"g{i}"] * np.uint64(0x9E3779B97F4A7C15)))
+    return out
+
+
 def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay).
 
@@ -150,14 +242,18 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     they are in the input. A null text counts as empty. Null doc_id values come last. Rows
     with one doc_id and different texts are different documents, in a fixed order; equal
     rows are one document, so neither comes before the other. An empty table stays empty.
+    Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     blocks.ship(spark)
     size = 2 * blocks.input_bytes(docs)
     keys = parts = max(12, size // PART_BYTES)
+    hot_here = max(2, HOT_BUCKET // keys)
     placed = docs.select(
         F.col(text).alias("text"), "doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tag")
     )
+    by_key = lambda x: (x % np.uint64(keys)).astype(np.int64)
+    by_part = lambda t: _part(t["doc"], t["tag"], parts)
 
     def post(batches):
         held: list[dict] = []
@@ -167,17 +263,10 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
             if not held:
                 return
             t = {c: np.concatenate([h[c] for h in held]) for c, _ in _RUN}
-            whole = t["bucket"]
-            t["bucket"] = (whole // np.uint64(keys)).astype(np.uint32)
             # only the first of equal runs is posted; the others are repeats whatever lies elsewhere
-            by, own = _first_of(t["ident"], t["doc"], t["tag"], t["start"])
-            first = np.zeros(len(by), bool)
-            first[by[own]] = True
-            ahead = by[np.maximum.accumulate(np.where(own, np.arange(len(by)), 0))]
-            twin = np.zeros(len(by), bool)  # equal rows: the same place in the same document
-            twin[by] = (t["doc"][by] == t["doc"][ahead]) & (t["tag"][by] == t["tag"][ahead]) & (t["start"][by] == t["start"][ahead])
-            rows = _dealt(t, _RUN, (whole % np.uint64(keys)).astype(np.int64), _RUNS, first)
-            rows += _dealt(t, _SPAN, _part(t["doc"], t["tag"], parts), _REMOVE, ~first & ~twin)
+            first, later = _repeats(t, t["ident"])
+            rows = _dealt(t, _RUN, by_key(t["ident"]), _RUNS, first)
+            rows += _dealt(t, _SPAN, by_part(t), _REMOVE, later)
             held.clear()
             for i in range(0, len(rows), 512):
                 yield from _table(rows[i : i + 512]).to_batches()
@@ -194,115 +283,92 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
                 n = 0
         yield from sent()
 
-    def split(table: pa.Table) -> pa.Table:
-        """Of a bucket key's runs: repeats, and first runs of buckets that hold several."""
+    def apart(table: pa.Table) -> pa.Table:
+        """Of runs with equal identifiers the first, by its bucket; the others are repeats."""
         if table.column("kind")[0].as_py() == _REMOVE:
-            return table
+            return table.drop_columns(["group"])
         t = _unpack(table.column("packed"), _RUN)
-        by, own = _first_of(t["ident"], t["doc"], t["tag"], t["start"])
-        t = {c: x[by] for c, x in t.items()}
-        ahead = np.maximum.accumulate(np.where(own, np.arange(len(by)), 0))
-        twin = (t["doc"] == t["doc"][ahead]) & (t["tag"] == t["tag"][ahead]) & (t["start"] == t["start"][ahead])
-        _, group, size_ = np.unique(t["bucket"][own], return_inverse=True, return_counts=True)
-        several = np.zeros(len(by), bool)
-        several[np.flatnonzero(own)] = size_[group] > 1
-        hot = np.zeros(len(by), bool)
-        hot[np.flatnonzero(own)] = size_[group] > HOT_BUCKET
-        part = _part(t["doc"], t["tag"], parts)
-        # the bucket key and whether it is hot go with the spans to compare
-        t["ident"] = np.full(len(by), table.column("key")[0].as_py(), np.uint64) * np.uint64(2) + hot
-        return _table(_dealt(t, _SPAN, part, _REMOVE, ~own & ~twin) + _dealt(t, _RUN, part, _COMPARE, several))
-
-    mapped = placed.mapInArrow(post, _FORM)
+        first, later = _repeats(t, t["ident"])
+        # a bucket with many runs here has many everywhere: its runs need not meet
+        _, group, n = np.unique(t["bucket"][first], return_inverse=True, return_counts=True)
+        hot = np.zeros(len(first), bool)
+        hot[np.flatnonzero(first)] = n[group] > hot_here
+        told = {"bucket": np.unique(t["bucket"][hot])}
+        rows = _dealt(t, _SPAN, by_part(t), _REMOVE, later) + _dealt(t, _FIRST, by_part(t), _COMPARE_HOT, hot)
+        rows += _dealt(t, _FIRST, by_key(t["bucket"]), _FIRSTS, first & ~hot) + _dealt(told, _HOT, by_key(told["bucket"]), _HOTS)
+        return _table(rows)
+
     # two kinds of keys share the shuffle: documents' keys are negative
-    shuffled = mapped.withColumn("group", F.when(F.col("kind") == _REMOVE, -1 - F.col("key")).otherwise(F.col("key")))
+    mapped = placed.mapInArrow(post, _FORM).withColumn("group", F.when(F.col("kind") == _REMOVE, -1 - F.col("key")).otherwise(F.col("key")))
+    found = blocks.written(mapped.groupBy("group").applyInArrow(apart, _FORM), spark)
 
-    def split_(table: pa.Table) -> pa.Table:
-        return split(table.drop_columns(["group"]))
+    def meeting(table: pa.Table) -> pa.Table:
+        """Runs of buckets that hold several."""
+        kinds = np.asarray(table.column("kind"))
+        packed = table.column("packed")
+        t = _unpack([packed[i] for i in np.flatnonzero(kinds == _FIRSTS)], _FIRST)
+        known_hot = np.unique(_unpack([packed[i] for i in np.flatnonzero(kinds == _HOTS)], _HOT)["bucket"])
+        _, group, n = np.unique(t["bucket"], return_inverse=True, return_counts=True)
+        hot = np.isin(t["bucket"], known_hot)
+        return _table(_dealt(t, _FIRST, by_part(t), _COMPARE, ~hot & (n[group] > 1)) + _dealt(t, _FIRST, by_part(t), _COMPARE_HOT, hot))
 
-    found = blocks.written(shuffled.groupBy("group").applyInArrow(split_, _FORM), spark)
+    met = found.filter(F.col("kind").isin(_FIRSTS, _HOTS)).groupBy("key").applyInArrow(meeting, _FORM)
+    compare = found.filter(F.col("kind") == _COMPARE_HOT).unionAll(met)
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         """Texts of the runs to compare, or their windows where a bucket is hot."""
         if not left.num_rows or not right.num_rows:
             return _table([])
-        t = _unpack(left.column("packed"), _RUN)
+        kinds = np.asarray(left.column("kind"))
         data, at = blocks.utf8(right.column("text"))
         doc, tag = np.asarray(right.column("doc")).astype(np.int64), np.asarray(right.column("tag")).astype(np.uint32)
-        own = _order(doc, tag)
-        found_ = _locate(doc[own], tag[own], t["doc"], t["tag"])
-        begin = at[:-1][own][found_] + t["start"]
-        lens = t["windows"].astype(np.int64) + LENGTH - 1
-        hot = (t["ident"] & np.uint64(1)).astype(bool)
         out = []
-        key = (t["ident"] >> np.uint64(1)).astype(np.int64)
-
-        def taken(at_):
-            n = lens[at_]
-            return data[np.repeat(begin[at_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-
-        cold = np.flatnonzero(~hot)
-        cold = cold[np.argsort(key[cold], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate([[True], key[cold][1:] != key[cold][:-1], [True]])) if len(cold) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            at_ = cold[a:b]
-            out.append((_TEXTS, int(key[cold[a]]), len(at_).to_bytes(4, "little") + _pack(t, _RUN, at_) + taken(at_).tobytes()))
-        warm = np.flatnonzero(hot)
-        for i in range(0, len(warm), HOT_AT_ONCE):
-            at_ = warm[i : i + HOT_AT_ONCE]
-            first = np.concatenate([[0], np.cumsum(lens[at_])[:-1]])
-            w = _windows(taken(at_), first, t["windows"][at_].astype(np.int64), {c: t[c][at_] for c, _ in _RUN})
-            out += _dealt(w, _WINDOWS_FORM, (w["ident"] % np.uint64(keys)).astype(np.int64), _WINDOWS)
+        for kind in (_COMPARE, _COMPARE_HOT):
+            t = _unpack([left.column("packed")[i] for i in np.flatnonzero(kinds == kind)], _FIRST)
+            begin = at[:-1][_locate(doc, tag, t["doc"], t["tag"])] + t["start"]
+            lens = t["windows"].astype(np.int64) + LENGTH - 1
+
+            def taken(at_, begin=begin, lens=lens):
+                n = lens[at_]
+                return data[np.repeat(begin[at_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
+            if kind == _COMPARE:
+                key = by_key(t["bucket"])
+                by = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1], [True]])) if len(by) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    at_ = by[a:b]
+                    out.append((_TEXTS, int(key[by[a]]), len(at_).to_bytes(4, "little") + _pack(t, _FIRST, at_) + taken(at_).tobytes()))
+            else:
+                for i in range(0, len(lens), HOT_AT_ONCE):
+                    at_ = np.arange(i, min(i + HOT_AT_ONCE, len(lens)))
+                    first = np.concatenate([[0], np.cumsum(lens[at_])[:-1]])
+                    w = _windows(taken(at_), first, t["windows"][at_].astype(np.int64), {c: t[c][at_] for c, _ in _FIRST})
+                    name = _name(w)
+                    own, later = _repeats(w, name)  # of equal windows here the first is sent
+                    spans = _spans({c: w[c][later] for c in ("doc", "tag", "start")})
+                    out += _dealt(w, _WINDOW, by_key(name), _WINDOWS, own) + _dealt(spans, _SPAN, by_part(spans), _REMOVE)
         return _table(out)
 
     def refine(table: pa.Table) -> pa.Table:
         """Windows of compared runs that also start earlier."""
-        kinds = np.asarray(table.column("kind"))
-        packed = table.column("packed").to_pylist()
-        parts_ = []
-        for kind, raw in zip(kinds, packed, strict=True):
+        found_ = []
+        for kind, raw in zip(table.column("kind").to_pylist(), table.column("packed").to_pylist(), strict=True):
             if kind == _WINDOWS:
-                t = _unpack([pa.scalar(raw, pa.binary())], _WINDOWS_FORM)
-                parts_.append(t)
+                found_.append(_unpack([pa.scalar(raw, pa.binary())], _WINDOW))
             else:
                 n = int.from_bytes(raw[:4], "little")
-                size_ = 4 + n * sum(np.dtype(k).itemsize for _, k in _RUN)
-                t = _unpack([pa.scalar(raw[4:size_], pa.binary())], _RUN)
+                size_ = 4 + n * sum(np.dtype(k).itemsize for _, k in _FIRST)
+                t = _unpack([pa.scalar(raw[4:size_], pa.binary())], _FIRST)
                 lens = t["windows"].astype(np.int64) + LENGTH - 1
-                parts_.append(_windows(np.frombuffer(raw, np.uint8, offset=size_), np.concatenate([[0], np.cumsum(lens)[:-1]]), t["windows"].astype(np.int64), t))
-        w = {c: np.concatenate([x[c] for x in parts_]) for c, _ in _WINDOWS_FORM}
-        # first by the q-gram bucket and the half at the window's start; a window alone there is done
-        half = w["half"]
-        by = np.argsort(half, kind="stable")
-        same = np.zeros(len(by) + 1, bool)
-        same[1:-1] = half[by][1:] == half[by][:-1]
-        at = by[same[:-1] | same[1:]]
-        w = {c: x[at] for c, x in w.items()}
-        # then by the identifier at the later offset as well
-        by, own = _first_of(w["ident"], w["doc"], w["tag"], w["start"])
-        ahead = np.maximum.accumulate(np.where(own, np.arange(len(by)), 0))
-        w = {c: x[by] for c, x in w.items()}
-        twin = (w["doc"] == w["doc"][ahead]) & (w["tag"] == w["tag"][ahead]) & (w["start"] == w["start"][ahead])
-        again = ~own & ~twin
-        w = {c: x[again] for c, x in w.items()}
-        # neighbouring windows of a document become one span of at most 255
-        by = _order(w["doc"], w["tag"], w["start"])
-        w = {c: x[by] for c, x in w.items()}
-        if not len(by):
-            return _table([])
-        new = np.ones(len(by), bool)
-        new[1:] = (w["doc"][1:] != w["doc"][:-1]) | (w["tag"][1:] != w["tag"][:-1]) | (w["start"][1:] != w["start"][:-1] + 1)
-        opened = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-        new |= (np.arange(len(by)) - opened) % 250 == 0
-        cuts = np.flatnonzero(np.concatenate([new, [True]]))
-        spans = {c: w[c][cuts[:-1]] for c in ("doc", "tag", "start")} | {"windows": np.diff(cuts)}
-        return _table(_dealt(spans, _SPAN, _part(spans["doc"], spans["tag"], parts), _REMOVE))
-
-    texts = placed.withColumn("key", _part_column(parts)).repartition(parts, "key")
-    compare = found.filter(F.col("kind") == _COMPARE)
-    wanted = compare.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(fetch, _FORM)
-    refined = wanted.groupBy("key").applyInArrow(refine, _FORM)
-    removed = found.filter(F.col("kind") == _REMOVE).unionAll(refined)
+                found_.append(_windows(np.frombuffer(raw, np.uint8, offset=size_), np.concatenate([[0], np.cumsum(lens)[:-1]]), t["windows"].astype(np.int64), t))
+        spans = _spans(refined({c: np.concatenate([x[c] for x in found_]) for c, _ in _WINDOW}))
+        return _table(_dealt(spans, _SPAN, by_part(spans), _REMOVE))
+
+    texts = placed.withColumn("key", F.pmod(F.xxhash64("doc", "tag"), F.lit(parts))).repartition(parts, "key")
+    wanted = blocks.written(compare.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(fetch, _FORM), spark)
+    again = wanted.filter(F.col("kind") != _REMOVE).groupBy("key").applyInArrow(refine, _FORM)
+    removed = found.unionAll(wanted).filter(F.col("kind") == _REMOVE).unionAll(again)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents without what is to be removed."""
@@ -334,40 +400,13 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     return removed.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-_WINDOWS_FORM = (("half", np.uint64), *_WINDOW)
-
-
 def _locate(doc: np.ndarray, tag: np.ndarray, d: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Place of each (d, g) in the sorted pairs (doc, tag)."""
-    pair = np.dtype([("doc", np.int64), ("tag", np.uint32)])
-    have, want = np.empty(len(doc), pair), np.empty(len(d), pair)
-    have["doc"], have["tag"], want["doc"], want["tag"] = doc, tag, d, g
-    own, at = np.unique(want, return_inverse=True)
-    place = {(int(x), int(y)): i for i, (x, y) in reversed(list(enumerate(zip(doc, tag, strict=True))))}
-    return np.array([place[int(x["doc"]), int(x["tag"])] for x in own], np.int64)[at.ravel()]
-
-
-def _windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """All windows of runs whose texts begin at `begin`: identifiers of their half and their whole."""
-    spans = blocks.Spans(data, seed=33)
-    at = np.repeat(np.arange(len(windows)), windows)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-    p = begin[at] + step
-    half, later = spans.hash(p, p + LENGTH // 2), spans.hash(p + LENGTH // 2, p + LENGTH)
-    half = blocks.mixed(half + t["bucket"][at].astype(np.uint64))
-    return {"half": half, "ident": blocks.mixed(half ^ (later * np.uint64(0x9E3779B97F4A7C15))), "doc": t["doc"][at], "tag": t["tag"][at], "start": (t["start"][at] + step).astype(np.uint32)}
-
-
-def _part_column(parts: int):
-    """The key of a document's part, as _part gives it."""
-
-    @F.pandas_udf("long")
-    def part(doc, tag):
-        import pandas as pd
-
-        return pd.Series(_part(doc.to_numpy(np.int64), tag.to_numpy(np.uint32), parts))
-
-    return part("doc", "tag")
+    """The first place in (doc, tag) of each pair of (d, g), which occur there."""
+    n = len(doc)
+    number = _numbered(np.concatenate([doc, d]), np.concatenate([tag, g]))
+    place = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int64)
+    place[number[:n][::-1]] = np.arange(n)[::-1]
+    return place[number[n:]]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
