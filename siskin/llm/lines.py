@@ -1,15 +1,18 @@
 """Removal of repeated runs of lines: a suffix array over line-ID sequences by prefix doubling.
 
-A line's ID is its hash; a document is its sequence of IDs. A position's name at level j
-stands for the 2^j lines from there on, so a level's names sort the suffixes by their
-first 2^j lines: positions with one name are an interval of the suffix array with a
-common prefix of 2^j lines, and the interval's first place is its earliest copy. Where
-the exact common prefix of an interval matters, because a line more could be deleted,
-its members are named by the lengths up to the next power as well.
-
-A run is deleted where it is a later copy and long enough: `min_words` words in all.
-Names are hashes of what they stand for, so neighbours know each other's names without
-a join; only the earliest place of each name travels.
+A line's ID is its hash; a document is its sequence of IDs. Level j sorts the suffixes by
+their first 2^j lines: a position's rank there is the name of its pair of ranks on the
+level before, its own and that 2^(j-1) lines on. Positions of one rank are an interval of
+the suffix array with a common prefix of 2^j lines, and its first place in the corpus is
+the earliest copy. Only positions whose two halves lie in intervals of several members
+are ranked on the next level, and only documents with such positions take part; the
+levels end when no interval has two members. A pair's name is a hash, so ranks need no
+common numbering and no sort of the whole corpus: a rank's members meet in its bucket.
+
+A line is deleted where it lies in a later copy of a run with `min_words` words in all.
+For that the shortest runs with so many words that begin or end at a line suffice; where
+such a run's length is no power of two, and its first and last powers lie in intervals,
+its members are named by the whole run, which tells the intervals' exact common prefix.
 """
 
 from __future__ import annotations
@@ -26,14 +29,26 @@ from siskin.llm.substrings import _FORM, _dealt, _first_of, _order, _part, _tabl
 MIN_WORDS = 10
 #: Text, about, of the documents that are edited together.
 PART_BYTES = 8 << 20
+#: Documents with a line that occurs elsewhere.
+_SHARED = "rtrim('0', hex(any)) <> ''"
 #: Names that a worker holds before it sends them.
 HELD_NAMES = 1_000_000
 
 _NAME = (("ident", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("length", np.uint32), ("flag", np.uint8))
 _HIT = _NAME[1:]
+_PAIR = np.uint64(0x9FB21C651E98DF25)
 #: Of each document: its line IDs and their words; of each line, the lengths of the longest
-#: run from there with an earlier copy and with any copy, and whether more is to be tried.
-_STATE = "part long, doc long, tag long, ids binary, words binary, length binary, any binary, active binary"
+#: run from there with an earlier copy and with any copy, and whether its last rank has several
+#: members; and whether the document takes part in the next level.
+_STATE = "part long, doc long, tag long, ids binary, words binary, length binary, any binary, alive binary, more boolean"
+
+
+def ranks(ids: np.ndarray, level: int) -> np.ndarray:
+    """The ranks of the runs of 2^level lines, each from the pair of ranks half a run apart."""
+    for j in range(level):
+        half = 1 << j
+        ids = blocks.mixed(ids[:-half] * _PAIR + ids[half:]) if len(ids) > half else ids[:0]
+    return ids
 
 
 def _posts(held: list[dict], keys: int, parts: int):
@@ -55,30 +70,12 @@ def _posts(held: list[dict], keys: int, parts: int):
         yield _table(rows[i : i + 512])
 
 
-def _names(ids: np.ndarray, start: np.ndarray, length: np.ndarray, doc: int, tag: int) -> dict[str, np.ndarray]:
-    k = len(start)
-    return {"ident": blocks.Spans(ids, seed=41).hash(start, start + length), "doc": np.full(k, doc), "tag": np.full(k, tag, np.uint32), "start": start, "length": length}
-
-
-def _powers(n: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (start, power of two) of n lines, from two lines up to the given length at each start."""
-    starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    w = 2
-    while w <= n:
-        at = np.arange(n - w + 1)
-        at = at[most[: len(at)] >= w]
-        starts.append(at)
-        lengths.append(np.full(len(at), w))
-        w *= 2
-    return np.concatenate(starts), np.concatenate(lengths)
-
-
 def _rows_of(batch):
     """Each row of a batch or table of states, its binary columns as arrays."""
     col = {n: batch.column(n) for n in batch.schema.names}
     for i in range(batch.num_rows):
         raw = lambda c, kind: np.frombuffer(col[c][i].as_buffer(), kind)  # noqa: B023, E731
-        yield col["doc"][i].as_py(), col["tag"][i].as_py(), raw("ids", np.uint64), raw("words", np.uint32), raw("length", np.int32), raw("any", np.int32), raw("active", np.uint8)
+        yield col["doc"][i].as_py(), col["tag"][i].as_py(), raw("ids", np.uint64), raw("words", np.uint32), raw("length", np.int32), raw("any", np.int32), raw("alive", np.uint8)
 
 
 def _twins(t, own) -> np.ndarray:
@@ -98,12 +95,26 @@ def _covered(length: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _more(length: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Positions where a run between this power of two and the next may delete another line."""
-    n, at = len(length), np.arange(len(length))
-    kept = np.concatenate([[0], np.cumsum(~_covered(length, words, least))])
-    reach = np.minimum(n, at + np.maximum(2 * length - 1, 0))
-    return (length > 1) & (reach > at + length) & (kept[reach] > kept[at])
+def shortest(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the shortest runs of at least `least` words that begin, and that end, at each line."""
+    n = len(words)
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n)
+    end = np.searchsorted(sums, sums[:-1] + least)
+    begun = end <= n
+    start = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ended = start >= 0
+    both = np.stack([np.concatenate([at[begun], start[ended]]), np.concatenate([(end - at)[begun], (at + 1 - start)[ended]])])
+    both = np.unique(both[:, both[1] > 0], axis=1)
+    return both[0], both[1]
+
+
+def _undecided(words: np.ndarray, length: np.ndarray, any_: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest runs between two powers of lines, of which the ranks allow that they have a copy."""
+    start, size = shortest(words, least)
+    power = 1 << (np.frexp(size)[1] - 1)
+    open_ = (power < size) & (any_[start] >= power) & (any_[start + size - power] >= power) & (length[start] < size)
+    return start[open_], size[open_]
 
 
 def _hits(names: DataFrame, parts: int) -> DataFrame:
@@ -126,95 +137,90 @@ def _hits(names: DataFrame, parts: int) -> DataFrame:
     return names.groupBy("key").applyInArrow(copies, _FORM)
 
 
-def _updated(state: DataFrame, hits: DataFrame, least: int) -> DataFrame:
-    """state with the longest runs of the hits."""
+def _updated(state: DataFrame, hits: DataFrame, size: int = 0) -> DataFrame:
+    """state with the longest runs of the hits; with a size, which is the level's, also what is alive there."""
     spark = state.sparkSession
 
     def update(left: pa.Table, right: pa.Table) -> pa.Table:
         t = _unpack(left.column("packed"), _HIT)
         by = _order(t["doc"], t["tag"], t["start"], t["length"])
         t = {c: x[by] for c, x in t.items()}
-        out: dict[str, list] = {"length": [], "any": [], "active": []}
-        for doc, tag, _ids, words, length, any_, _ in _rows_of(right):
+        out: dict[str, list] = {"length": [], "any": [], "alive": [], "more": []}
+        for doc, tag, ids, _, length, any_, _ in _rows_of(right):
             a, b = np.searchsorted(t["doc"], [doc, doc + 1]) if doc < 2**63 - 1 else (np.searchsorted(t["doc"], doc), len(by))
             a, b = a + np.searchsorted(t["tag"][a:b], [tag, tag + 1])
-            length, any_ = length.copy(), any_.copy()
-            start, size, later = t["start"][a:b], t["length"][a:b], t["flag"][a:b] > 0
-            np.maximum.at(any_, start, size.astype(np.int32))
-            np.maximum.at(length, start[later], size[later].astype(np.int32))
+            length, any_, alive = length.copy(), any_.copy(), np.zeros(len(ids), np.uint8)
+            start, run, later = t["start"][a:b], t["length"][a:b], t["flag"][a:b] > 0
+            alive[start] = 1
+            np.maximum.at(any_, start, run.astype(np.int32))
+            np.maximum.at(length, start[later], run[later].astype(np.int32))
             out["length"].append(length.tobytes())
             out["any"].append(any_.tobytes())
-            out["active"].append(_more(length, words, least).astype(np.uint8).tobytes())
+            out["alive"].append(alive.tobytes())
+            out["more"].append(bool(size and (alive[:-size] & alive[size:]).any()))
         same = {c: right.column(c) for c in ("part", "doc", "tag", "ids", "words")}
-        return pa.table(same | {c: pa.array(x, pa.binary()) for c, x in out.items()})
+        return pa.table(same | {c: pa.array(x, pa.bool_() if c == "more" else pa.binary()) for c, x in out.items()})
 
     out = blocks.written(hits.groupBy("key").cogroup(state.groupBy("part")).applyInArrow(update, _STATE), spark)
     blocks.tidy(spark)
     return out
 
 
-def _doubled(state: DataFrame, keys: int, parts: int) -> DataFrame:
-    """Names of all runs of 1, 2, 4, ... lines."""
+def _named(state: DataFrame, keys: int, parts: int, choose) -> DataFrame:
+    """Names of the runs that choose(ids, words, length, any, alive) gives: (start, length, name)."""
 
     def emit(batches):
         held, n = [], 0
         for batch in batches:
-            for doc, tag, ids, *_ in _rows_of(batch):
-                w = 1
-                while w <= len(ids):
-                    start = np.arange(len(ids) - w + 1)
-                    held.append(_names(ids, start, np.full(len(start), w), doc, tag))
-                    n += len(start)
-                    w *= 2
-                    if n > HELD_NAMES:
-                        for table in _posts(held, keys, parts):
-                            yield from table.to_batches()
-                        n = 0
+            for doc, tag, *about in _rows_of(batch):
+                start, length, ident = choose(*about)
+                k = len(start)
+                if k:
+                    held.append({"ident": ident, "doc": np.full(k, doc), "tag": np.full(k, tag, np.uint32), "start": start, "length": length})
+                    n += k
+                if n > HELD_NAMES:
+                    for table in _posts(held, keys, parts):
+                        yield from table.to_batches()
+                    n = 0
         for table in _posts(held, keys, parts):
             yield from table.to_batches()
 
     return state.mapInArrow(emit, _FORM)
 
 
-def _between(state: DataFrame, keys: int, parts: int) -> DataFrame:
-    """Names of the lengths between two powers, of all runs that share an active run's power."""
-
-    def emit(chosen_only):
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for doc, tag, ids, _, length, any_, active in _rows_of(batch):
-                    if chosen_only:
-                        start = np.flatnonzero(active)
-                        size = length[start].astype(np.int64)
-                    else:
-                        start, size = _powers(len(ids), any_)
-                    if len(start):
-                        rows.append(_names(ids, start, size, doc, tag))
-                if rows:
-                    t = {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}
-                    part = _part(t["doc"], t["tag"], parts)
-                    cols = [t["ident"].view(np.int64), part, t["doc"], t["tag"].astype(np.int64), t["start"].astype(np.int64), t["length"].astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ident", "part", "doc", "tag", "start", "length"])
-
-        return state.mapInArrow(run, "ident long, part long, doc long, tag long, start long, length long")
-
-    wanted = emit(False).join(emit(True).select("ident").distinct(), "ident", "left_semi").drop("ident")
-
-    def names(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([])
-        chosen: dict[tuple[int, int], list] = {}
-        for doc, tag, start, length in zip(*(left.column(c).to_pylist() for c in ("doc", "tag", "start", "length")), strict=True):
-            chosen.setdefault((doc, tag), []).append((start, length))
-        held = []
-        for doc, tag, ids, *_ in _rows_of(right):
-            for start, w in chosen.get((doc, tag), ()):
-                size = np.arange(w + 1, min(2 * w - 1, len(ids) - start) + 1)
-                held.append(_names(ids, np.full(len(size), start), size, doc, tag))
-        return pa.concat_tables([_table([]), *_posts(held, keys, parts)])
-
-    return wanted.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(names, _FORM)
+def _level(level: int):
+    size = 1 << level
+
+    def choose(ids, words, length, any_, alive):
+        start = np.arange(len(ids)) if not level else np.flatnonzero(alive[: -(size // 2)] & alive[size // 2 :])
+        start = start[start + size <= len(ids)]
+        return start, np.full(len(start), size), ranks(ids, level)[start]
+
+    return choose
+
+
+def _between(least: int):
+    def choose(ids, words, length, any_, alive):
+        start, size = _undecided(words, length, any_, least)
+        return start, size, blocks.Spans(ids, seed=41).hash(start, start + size)
+
+    return choose
+
+
+def _runs(state: DataFrame, keys: int, parts: int, least: int) -> DataFrame:
+    """state with the longest repeated run from each line, of documents that have any."""
+    level, done = 0, []
+    while True:
+        state = _updated(state, _hits(_named(state, keys, parts, _level(level)), parts), 1 << level)
+        done.append(state.filter("not more").filter(_SHARED))
+        state = state.filter("more")
+        level += 1
+        if state.isEmpty():
+            break
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionAll(other)
+    return _updated(out, _hits(_named(out, keys, parts, _between(least)), parts))
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -234,7 +240,8 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     size = 2 * blocks.input_bytes(docs)
     keys = parts = max(12, size // PART_BYTES)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    placed = docs.select(*kept, F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_tag"))
+    doc, tag = blocks.unused(docs, "doc"), blocks.unused(docs, "tag")
+    placed = docs.select(*kept, F.coalesce("doc_id", F.lit(2**63 - 1)).alias(doc), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias(tag))
 
     def describe(batches):
         for rows, data, at in blocks.slices(batches):
@@ -255,40 +262,47 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             bounds = np.searchsorted(owner, np.arange(len(at)))
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
             zero = cut(np.zeros(len(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(_part(doc, tag, parts)), pa.array(doc), pa.array(tag.astype(np.int64)), cut(ids), cut(words), zero, zero, cut(np.zeros(len(ids), np.uint8))], [f.split()[0] for f in _STATE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(doc, tag, parts)), pa.array(doc), pa.array(tag.astype(np.int64)), cut(ids), cut(words), zero, zero, cut(np.ones(len(ids), np.uint8)), pa.array([True] * len(doc))], [f.split()[0] for f in _STATE.split(", ")])
 
-    state = blocks.written(placed.filter(F.col("text").isNotNull()).select("text", "_doc", "_tag").mapInArrow(describe, _STATE), spark)
-    state = _updated(state, _hits(_doubled(state, keys, parts), parts), min_words)
-    if not state.filter(F.hex("active").contains("1")).isEmpty():
-        state = _updated(state, _hits(_between(state, keys, parts), parts), min_words)
+    state = blocks.written(placed.filter(F.col("text").isNotNull()).select("text", doc, tag).mapInArrow(describe, _STATE), spark)
+    state = _runs(state, keys, parts, min_words)
+    its_doc, its_tag, stays, lost = (blocks.unused(placed, n) for n in ("its_doc", "its_tag", "stays", "lost"))
 
     def gone(batches):
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 length, words = np.frombuffer(b.column(3)[i].as_buffer(), np.int32), np.frombuffer(b.column(2)[i].as_buffer(), np.uint32)
-                out.append(np.flatnonzero(_covered(length, words, min_words)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["_d", "_t", "_gone"])
+                out.append(~_covered(length, words, min_words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.bool_())), pa.array([int((~x).sum()) for x in out], pa.int64())], [its_doc, its_tag, stays, lost])
 
-    dropped = state.select("doc", "tag", "words", "length").mapInArrow(gone, "_d long, _t long, _gone array<int>")
+    dropped = state.select("doc", "tag", "words", "length").mapInArrow(gone, f"{its_doc} long, {its_tag} long, {stays} array<boolean>, {lost} long")
     # only documents that lose lines; equal rows have one list
-    dropped = dropped.filter(F.size("_gone") > 0).dropDuplicates(["_d", "_t"])
-    out = placed.join(dropped, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
+    dropped = dropped.filter(F.col(lost) > 0).dropDuplicates([its_doc, its_tag])
+    out = placed.join(dropped, (F.col(doc) == F.col(its_doc)) & (F.col(tag) == F.col(its_tag)), "left")
     lines = F.split("text", "\n", -1)
-    slim = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(slim)
+    slim = F.array_join(F.filter(lines, lambda x, i: F.get(stays, i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(slim)
     return out.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in kept),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0).cast("long")).alias("n_removed"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one that loses all its words goes."""
-    out = remove(docs)
+    """Documents without repeated lines, with the columns of docs; one that loses all its words goes.
+
+    Nulls, empty texts, ties and repeated rows are as in remove(). n_chars, where docs has
+    it, is counted anew for texts that lose a line. Columns named n_lines and n_removed pass
+    through as they are.
+    """
+    held = {c: blocks.unused(docs, f"held_{i}") for i, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_removed")}
+    out = remove(docs.withColumnsRenamed(held))
+    text = F.col("text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
+    out = out.filter((F.col("n_removed") == 0) | text.rlike(r"\S"))
+    return out.select(*(F.col(held.get(c, c)).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
