@@ -2,11 +2,15 @@
 
 A text's units are its runs of at most 32 non-space characters. In a longer run a unit is
 a single character, or one character repeated (cut at 32), so units there depend on the
-characters and not on the distance from the run's start. Every run of `k` units is hashed (a shorter text: all of them), and in every window of `w` hashes the
-smallest is selected, the rightmost of equal ones. A hash and its position share one
-64-bit number, hash above and position, counted down, below, so the minimum of a window
-is a plain minimum, taken in log2(w) passes over shifted arrays. Texts that share
-w + k - 1 units in a row share a selected hash; positions are kept.
+characters and not on the distance from the run's start. Every unit is hashed once; the
+hash of `k` units in a row is rolled: a cyclic polynomial, in which each unit's hash is
+rotated by its distance from the gram's end and all are joined by exclusive or. Grams of
+2, 4, ... units come from two shorter ones side by side, so all grams of a text take
+log2(k) passes. (A text of fewer units is one gram.) In every window of `w` grams the
+smallest is selected, the rightmost of equal ones: the upper bits of a hash and the
+position, counted down, share one number, so the minimum of a window is a plain minimum,
+taken in log2(w) passes over shifted arrays. Texts that share w + k - 1 units in a row
+share a selected hash; positions are kept.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from siskin.llm.blocks import input_bytes
 
 #: Units a gram, and grams a window (a power of two).
 K, W = 5, 8
-#: Bits that hold a gram's position.
-POSITION_BITS = 28
-#: Most buckets; the list of their first rows is held by the driver.
-MOST_BUCKETS = 20_000
+#: Bits that hold a gram's position; an array has fewer elements than that.
+POSITION_BITS = 31
 _POSITIONS = (1 << POSITION_BITS) - 1
+#: Most buckets of with_next; the list of their first rows is held by the driver. Beyond
+#: MOST_BUCKETS * BUCKET_BYTES of text buckets grow, and are sorted with spilling.
+MOST_BUCKETS = 20_000
 #: Bytes of text, about, in one ordered bucket of with_next.
 BUCKET_BYTES = 8 << 20
 
@@ -32,15 +37,35 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _rotated(x: Column, n: int) -> Column:
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n % 64 else x
+
+
+def _beside(a: Column, m: int, b: Column, n: int) -> Column:
+    """Hashes of m + n units from those of m and of the n after them; null where the text ends before."""
+    return F.zip_with(a, F.slice(b, m + 1, 1 << 30), lambda x, y: _rotated(x, n).bitwiseXOR(y))
+
+
+def rolled(units: Column, k: int = K) -> Column:
+    """array<bigint> of the rolling hashes of every k of the units' hashes; of fewer units: of all."""
+
+    def grow(done: Column | None, have: int, power: Column, m: int) -> Column:
+        # done: grams of `have` units, the lower bits of k; power: grams of m units
+        if k & m:
+            done, have = (power, m) if done is None else (_beside(power, m, done, have), have + m)
+        if have == k:
+            return F.slice(done, F.lit(1), F.greatest(F.size(done) - (k - 1), F.lit(0)))
+        step = lambda d: _let(_beside(power, m, power, m), lambda p: grow(d, have, p, 2 * m))
+        return step(None) if done is None else _let(done, step)
+
+    few = F.array(F.aggregate(units, F.lit(0).cast("bigint"), lambda h, x: _rotated(h, 1).bitwiseXOR(x)))
+    return F.when(F.size(units) >= k, grow(None, 0, units, 1)).when(F.size(units) > 0, few).otherwise(F.array().cast("array<bigint>"))
+
+
 def selected(text: str | Column, k: int = K, w: int = W) -> Column:
-    """array<bigint> of a text's selected grams, each its hash and position; null and empty: none."""
+    """array<struct<hash, position>> of a text's selected grams, by position; null and empty: none."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    # all overlapping grams in one pass: a look-ahead captures k units and the match takes one;
-    # atomic groups keep a unit whole, and a match starts where the one before it ended
-    unit = lambda name: rf"(?>(?<!\S)\S{{1,32}}+(?!\S)|(?<{name}>\S)\k<{name}>{{0,31}}+)"
-    grams = F.regexp_extract_all(text, F.lit(rf"\G\s*+(?=({unit('a')}(?:\s*+{unit('b')}){{{k - 1}}})){unit('c')}"), F.lit(1))
-    whole = F.when(text.rlike(r"\S"), F.array(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(F.array().cast("array<string>"))
-    keyed = _let(grams, lambda all_: F.transform(F.when(F.size(all_) > 0, all_).otherwise(whole), _key))
+    units = F.regexp_extract_all(text, F.lit(r"(?<!\S)\S{1,32}+(?!\S)|(\S)\1{0,31}+"), F.lit(0))
 
     def windows(least: Column, width: int) -> Column:
         if width == w:
@@ -50,21 +75,25 @@ def selected(text: str | Column, k: int = K, w: int = W) -> Column:
         wider = F.zip_with(least, F.slice(least, width + 1, 1 << 30), lambda a, b: F.least(a, b))
         return _let(wider, lambda x: windows(x, 2 * width))
 
-    return _let(keyed, lambda x: windows(x, 1))
+    def picked(grams: Column) -> Column:
+        at = lambda x: (F.lit(_POSITIONS) - x.bitwiseAND(F.lit(_POSITIONS))).cast("int")
+        return F.transform(_let(F.transform(grams, _key), lambda x: windows(x, 1)), lambda x: F.struct(F.get(grams, at(x)).alias("hash"), at(x).alias("position")))
+
+    return _let(F.transform(units, lambda u: F.xxhash64(u)), lambda u: _let(rolled(u, k), picked))
 
 
 def _key(gram: Column, i: Column) -> Column:
-    return F.xxhash64(gram).bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.lit(_POSITIONS) - i)
+    return gram.bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.lit(_POSITIONS) - i)
 
 
 def shown(picked: str | Column) -> Column:
     """A fingerprint as text: hash in hexadecimal, @, position; in order of position."""
-    return F.array_join(F.transform(picked, lambda x: F.concat(F.hex(F.shiftrightunsigned(x, POSITION_BITS)), F.lit("@"), (F.lit(_POSITIONS) - x.bitwiseAND(F.lit(_POSITIONS))).cast("string"))), " ")
+    return F.array_join(F.transform(picked, lambda x: F.concat(F.hex(x["hash"]), F.lit("@"), x["position"].cast("string"))), " ")
 
 
 def hashes(picked: str | Column) -> Column:
     """The distinct hashes of a fingerprint."""
-    return F.array_distinct(F.transform(picked, lambda x: F.shiftrightunsigned(x, POSITION_BITS)))
+    return F.array_distinct(F.transform(picked, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,7 +104,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """docs with fingerprint, array<bigint>; an existing column of that name is replaced."""
+    """docs with fingerprint, array<struct<hash, position>>; an existing column of that name is replaced."""
     return docs.withColumn("fingerprint", selected(text, k, w))
 
 
