@@ -23,12 +23,10 @@ from siskin.llm import blocks
 
 #: Gram lengths; a space stands for either end of a word.
 ORDERS = (2, 3, 4)
-#: Grams are named by hashes of so many bits while they are counted.
-NAME_BITS = 20
 #: Hash functions of the filter, and slots for each gram of the largest language.
 HASHES, SLOTS_PER_GRAM = 3, 12
-#: Counting tables that a worker keeps at once, one a language.
-LIVE_TABLES = 16
+#: Distinct grams that a worker counts before it sends them.
+HELD_GRAMS = 2_000_000
 #: Bytes of text whose grams are worked on at once.
 SLICE_BYTES = 1 << 18
 
@@ -96,10 +94,9 @@ class Model:
 
     def languages(self, names: np.ndarray, word: int = 0) -> np.ndarray:
         """The bitmask of languages that contain each gram."""
-        keys = names & np.uint64((1 << NAME_BITS) - 1)
         out = None
         for i in range(HASHES):
-            got = self.slots[word][_slot(keys, i, self.slots.shape[1])]
+            got = self.slots[word][_slot(names, i, self.slots.shape[1])]
             out = got if out is None else out & got
         return out
 
@@ -125,13 +122,13 @@ class Model:
 
 
 def build(counted: list[tuple[str, int, float]], near: float) -> Model:
-    """counted: language, gram's name, the gram's share of the language."""
+    """counted: language, gram's name (64 bits, signed or not), the gram's share of the language."""
     langs = sorted({x[0] for x in counted})
     if not langs:
         return Model([], np.zeros((1, 1), np.uint64), np.zeros(0))
     index = {x: i for i, x in enumerate(langs)}
     lang = np.array([index[x[0]] for x in counted], np.int64)
-    name = np.array([x[1] for x in counted], np.uint64)
+    name = np.array([x[1] % (1 << 64) for x in counted], np.uint64)
     share = np.array([x[2] for x in counted])
     own, group = np.unique(name, return_inverse=True)
     top = np.zeros(len(own))
@@ -157,28 +154,36 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", min_share
     """
     spark = labelled.sparkSession
     blocks.ship(spark)
-    size = 1 << NAME_BITS
 
     def count(batches):
-        tables: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n = 0
+
+        def summed(parts):
+            names, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return names, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         def flush():
-            for lang_, table in tables.items():
-                used = np.flatnonzero(table)
-                for i in range(0, len(used), 1 << 16):
-                    part = used[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(table[part], pa.int64())], ["lang", "gram", "n"])
-            tables.clear()
+            for lang_, parts in held.items():
+                names, counts = summed(parts)
+                for i in range(0, len(names), 1 << 16):
+                    part = names[i : i + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(part), pa.string()), pa.array(part), pa.array(counts[i : i + (1 << 16)])], ["lang", "gram", "n"])
+            held.clear()
 
         for rows, _, _ in blocks.slices(batches, "text", SLICE_BYTES):
             labels = np.array(rows.column(1).to_pylist(), object)
             texts = blocks.texts_of(rows)
             for one in dict.fromkeys(labels):
-                if one not in tables and len(tables) >= LIVE_TABLES:
+                got = np.unique(grams([texts[i] for i in np.flatnonzero(labels == one)])[0], return_counts=True)
+                held.setdefault(one, []).append(got)
+                n += len(got[0])
+            if n > HELD_GRAMS:
+                held.update({k: [summed(v)] for k, v in held.items()})
+                n = sum(len(v[0][0]) for v in held.values())
+                if n > HELD_GRAMS // 2:
                     yield from flush()
-                names = grams([texts[i] for i in np.flatnonzero(labels == one)])[0]
-                got = np.bincount((names & np.uint64(size - 1)).astype(np.int64), minlength=size)
-                tables[one] = tables[one] + got if one in tables else got
+                    n = 0
         yield from flush()
 
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -189,10 +194,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", min_share
     return build([tuple(x) for x in shares.collect()], near)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with lang_pred and score (0 to 1); `und` and 0 where a text is null or has no letter.
 
-    Existing columns of these names are replaced. Repeated rows are kept.
+    Of languages with equal shares the first by name is taken. Existing columns of these
+    names (label and score give others) are replaced. Repeated rows are kept.
     """
     spark = docs.sparkSession
     blocks.ship(spark)
@@ -205,13 +211,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return run
 
-    return blocks.with_columns(docs, "lang_pred string, score double", make, text, SLICE_BYTES)
+    return blocks.with_columns(docs, f"{label} string, {score} double", make, text, SLICE_BYTES)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Documents whose language is known with a score of min_score at least."""
+    """Documents whose language is known with a score of min_score at least, with the columns of docs.
+
+    A null, empty or letterless text goes; repeated rows and other columns stay as they are.
+    """
     model = train(docs.filter(~blocks.held_out("doc_id", 0)))
-    kept = identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    label, score = blocks.unused(docs, "lang"), blocks.unused(docs, "score")
+    kept = identify(docs, model, label=label, score=score).filter((F.col(label) != "und") & (F.col(score) >= min_score))
     return kept.select(*docs.columns)
 
 
