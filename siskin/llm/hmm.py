@@ -1,9 +1,10 @@
 """A hidden Markov language model over word classes, trained by Baum-Welch over partitions.
 
-A word's class is the word itself for the most frequent ones, else one of a fixed number
-of classes by its last letters. The hidden states emit classes; within a class a word
-has its smoothed share of the training tokens. So the model's size is fixed, while the
-word counts behind it are gathered from all training documents and grow with them.
+A frequent word is a class of its own; the others are in classes by their last letters.
+How many words have their own class, and how many other classes there are, grows with the
+square root of the number of distinct training words. The hidden states emit classes;
+within a class a word has its smoothed share of the training tokens. The word counts
+behind that are gathered from all training documents and grow with them.
 
 1. Words of training documents are counted, by hash, into buckets of words.
 2. Documents are dealt to chunks; a chunk asks the buckets for the counts of its words
@@ -18,6 +19,8 @@ word counts behind it are gathered from all training documents and grow with the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from siskin.llm import blocks
 
 STATES = 6
-#: Frequent words with a class of their own (the end is one more), and classes of others.
-TOP, RARE = 4096, 1024
-CLASSES = TOP + 1 + RARE
+#: Frequent words with a class of their own (the end is one more), and classes of others:
+#: at least, and for each unit of the square root of the number of distinct training words.
+TOP, TOP_PER_ROOT = 4096, 16
+RARE, RARE_PER_ROOT = 1024, 4
+#: Kinds of word endings, which the classes of others are made of; one more stands for the end.
+ENDINGS = 1 << 16
 #: Most steps over all training documents, and the gain in log likelihood a token (in nats)
 #: below which they end before that.
 STEPS, LEAST_GAIN = 8, 1e-4
@@ -39,7 +45,7 @@ CHUNK_BYTES = 8 << 20
 #: The end of a document, as a word.
 END = np.uint64(0x656E64)
 
-_PAIR = (("word", np.uint64), ("count", np.int64), ("cls", np.uint16))
+_PAIR = (("word", np.uint64), ("count", np.int64), ("cls", np.uint32))
 
 
 # -- recursions -----------------------------------------------------------------------------
@@ -91,36 +97,47 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of sequences, and their log likelihood."""
+    """Expected starts, moves and emissions of sequences, and their log likelihood.
+
+    Scaled values are of single precision, sums over a batch of double.
+    """
     _, symbols, offsets = _side_by_side(sequences)
     k, steps = len(model.start), len(offsets) - 1
-    emitted = model.emit.T[symbols]
-    alpha, scale = np.empty_like(emitted), np.empty(len(symbols))
+    single = np.float32
+    move, back = model.move.astype(single), np.ascontiguousarray(model.move.T, single)
+    emitted = np.ascontiguousarray(model.emit.T, single)[symbols]
+    alpha, scale = np.empty_like(emitted), np.empty((len(symbols), 1), single)
     before = None
+    start, edges = model.start.astype(single)[None, :], offsets.tolist()
     for t in range(steps):
-        lo, hi = offsets[t], offsets[t + 1]
-        a = (before[: hi - lo] @ model.move if t else model.start[None, :]) * emitted[lo:hi]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[lo:hi], scale[lo:hi], before = a, c, a
-    emitted /= scale[:, None]
+        lo, hi = edges[t], edges[t + 1]
+        a = alpha[lo:hi]
+        np.multiply(before[: hi - lo] @ move if t else start, emitted[lo:hi], out=a)
+        c = scale[lo:hi]
+        np.add.reduce(a, 1, keepdims=True, out=c)
+        a /= c
+        before = a
+    emitted /= scale
     moves = np.zeros((k, k))
-    beta = np.ones((0, k))
     gamma = alpha
-    first = None
+    beta, n = None, 0
     for t in range(steps - 1, -1, -1):
-        lo, hi = offsets[t], offsets[t + 1]
-        b = np.ones((hi - lo, k))
-        if len(beta):
-            later = emitted[hi : hi + len(beta)] * beta
-            moves += alpha[lo : lo + len(beta)].T @ later
-            b[: len(beta)] = later @ model.move.T
-        gamma[lo:hi] = alpha[lo:hi] * b
-        beta = b
-        if t == 0:
-            first = gamma[lo:hi].sum(0)
+        lo, hi = edges[t], edges[t + 1]
+        if n:
+            later = emitted[hi : hi + n]
+            later *= beta
+            moves += alpha[lo : lo + n].T @ later
+            here = later @ back
+            if hi - lo > n:
+                here = np.concatenate([here, np.ones((hi - lo - n, k), single)])
+            beta = here
+            gamma[lo:hi] *= beta
+        else:
+            beta = np.ones((hi - lo, k), single)
+        n = hi - lo
+    first = gamma[: edges[1]].sum(0, dtype=float)
     emissions = np.stack([np.bincount(symbols, gamma[:, i], model.emit.shape[1]) for i in range(k)])
-    return first, moves * model.move, emissions, float(np.log(scale).sum())
+    return first, moves * model.move, emissions, float(np.log(scale, dtype=float).sum())
 
 
 def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray], frequency: np.ndarray, weight: float = 20.0) -> Model:
@@ -156,24 +173,23 @@ def _pack(t, at) -> bytes:
 def _unpack(raws) -> dict[str, np.ndarray]:
     out: dict[str, list] = {c: [] for c, _ in _PAIR}
     for raw in raws:
-        n, at = len(raw) // 18, 0
+        n, at = len(raw) // 20, 0
         for c, kind in _PAIR:
             out[c].append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
     return {c: np.concatenate(x) if x else np.zeros(0, kind) for (c, kind), x in zip(_PAIR, out.values(), strict=True)}
 
 
-def _suffix_class(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The class of words by their last two bytes."""
-    last = low[ends - 1].astype(np.int64)
-    before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-    return (TOP + 1 + ((last * 256 + before) * 40503 >> 6) % RARE).astype(np.uint16)
+def _ending(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ending of words: their last two bytes."""
+    last = low[ends - 1].astype(np.uint32)
+    return last * 256 + np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.uint32)
 
 
 def _words(data, at):
     low, starts, ends, named, bounds = blocks.words(data, at, seed=8)
     own, first, inverse = np.unique(named, return_index=True, return_inverse=True)
-    return own, _suffix_class(low, starts[first], ends[first]), inverse, bounds
+    return own, _ending(low, starts[first], ends[first]), inverse, bounds
 
 
 def _dealt(t, buckets: int):
@@ -184,7 +200,7 @@ def _dealt(t, buckets: int):
 
 
 def _summed(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Pairs with the counts of each word added up; a word's class is one wherever it is."""
+    """Pairs with the counts of each word added up; a word's ending is one wherever it is."""
     word, count, cls = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kind) for c, kind in _PAIR)
     own, first, inverse = np.unique(word, return_index=True, return_inverse=True)
     return {"word": own, "count": np.bincount(inverse, count, len(own)).astype(np.int64), "cls": cls[first]}
@@ -193,22 +209,36 @@ def _summed(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 class Lexicon:
     """What all workers know of the words: sizes, the frequent words, the classes' tokens and words."""
 
-    def __init__(self, tokens: int, words: int, top: np.ndarray, in_class: np.ndarray, kinds: np.ndarray):
+    def __init__(self, tokens: int, words: int, top: np.ndarray, rare: int, in_class: np.ndarray, kinds: np.ndarray):
+        """Classes: one a word of top, the end, and rare ones."""
         self.tokens, self.words = tokens, words
-        self.top = np.sort(top)
+        self.top, self.rare = np.sort(top), rare
         self.in_class, self.kinds = in_class, kinds
 
-    def classes(self, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    @property
+    def end(self) -> int:
+        return len(self.top)
+
+    def of_ending(self, ending: np.ndarray) -> np.ndarray:
+        return np.where(ending == ENDINGS, self.end, self.end + 1 + (ending.astype(np.int64) * 40503 >> 6) % self.rare)
+
+    def classes(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        others = self.of_ending(ending)
         if not len(self.top):
-            return cls.astype(np.int64)
+            return others
         at = np.minimum(np.searchsorted(self.top, word), len(self.top) - 1)
-        return np.where(self.top[at] == word, at, cls).astype(np.int64)
+        return np.where(self.top[at] == word, at, others)
 
     @property
     def frequency(self) -> np.ndarray:
         f = self.in_class + 0.5
         return f / f.sum()
 
+    @property
+    def kind(self) -> type:
+        """The integers that classes are written as."""
+        return np.uint16 if len(self.in_class) <= 1 << 16 else np.uint32
+
 
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, packed) with the training count and class of every word of training documents."""
@@ -218,7 +248,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
         for rows, data, at in blocks.slices(batches):
             own, cls, inverse, _ = _words(data, at)
             held.append({"word": own, "count": np.bincount(inverse, minlength=len(own)), "cls": cls})
-            held.append({"word": np.array([END]), "count": np.array([rows.num_rows]), "cls": np.array([TOP], np.uint16)})
+            held.append({"word": np.array([END]), "count": np.array([rows.num_rows]), "cls": np.array([ENDINGS], np.uint32)})
             n += len(own)
             if n > 2_000_000:
                 held, n = [_summed(held)], 0
@@ -239,26 +269,28 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _lexicon(counted: DataFrame) -> Lexicon:
-    spark = counted.sparkSession
-
     def sums(batches):
-        tokens, kinds, sized = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), np.zeros(64, np.int64)
+        tokens, kinds, sized = np.zeros(ENDINGS + 1, np.int64), np.zeros(ENDINGS + 1, np.int64), np.zeros(64, np.int64)
         for b in batches:
             t = _unpack(b.column(0).to_pylist())
-            tokens += np.bincount(t["cls"], t["count"], CLASSES).astype(np.int64)
-            kinds += np.bincount(t["cls"], minlength=CLASSES)
+            tokens += np.bincount(t["cls"], t["count"], ENDINGS + 1).astype(np.int64)
+            kinds += np.bincount(t["cls"], minlength=ENDINGS + 1)
             sized += np.bincount(np.frexp(t["count"].astype(float))[1], minlength=64)
-        # below the classes: how many words have a count of so many bits
-        yield pa.RecordBatch.from_arrays([pa.array(range(-64, CLASSES), pa.int32()), pa.array(np.concatenate([np.zeros(64, np.int64), tokens])), pa.array(np.concatenate([sized, kinds]))], ["cls", "tokens", "kinds"])
+        # below the endings: how many words have a count of so many bits
+        used = np.flatnonzero(kinds)
+        cls = np.concatenate([np.arange(-64, 0), used])
+        yield pa.RecordBatch.from_arrays([pa.array(cls.astype(np.int32)), pa.array(np.concatenate([np.zeros(64, np.int64), tokens[used]])), pa.array(np.concatenate([sized, kinds[used]]))], ["cls", "tokens", "kinds"])
 
-    in_class, kinds, sized = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(64)
+    by_ending, kinds, sized = np.zeros(ENDINGS + 1), np.zeros(ENDINGS + 1), np.zeros(64)
     for r in counted.select("packed").mapInArrow(sums, "cls int, tokens long, kinds long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect():
         if r["cls"] < 0:
             sized[r["cls"] + 64] = r["kinds"]
         else:
-            in_class[r["cls"]], kinds[r["cls"]] = r["tokens"], r["kinds"]
-    # the most bits that enough words have: few more than TOP are left to be ordered
-    enough = np.flatnonzero(np.cumsum(sized[::-1])[::-1] > TOP)
+            by_ending[r["cls"]], kinds[r["cls"]] = r["tokens"], r["kinds"]
+    words = int(kinds.sum())
+    most, rare = max(TOP, TOP_PER_ROOT * math.isqrt(words)), max(RARE, RARE_PER_ROOT * math.isqrt(words))
+    # the most bits that enough words have: few more than `most` are left to be ordered
+    enough = np.flatnonzero(np.cumsum(sized[::-1])[::-1] > most)
     least = 1 << max(0, int(enough[-1]) - 1) if len(enough) else 0
 
     def best(batches):
@@ -267,13 +299,15 @@ def _lexicon(counted: DataFrame) -> Lexicon:
             at = np.flatnonzero((t["count"] >= least) & (t["word"] != END))
             yield pa.RecordBatch.from_arrays([pa.array(t["word"][at].view(np.int64)), pa.array(t["count"][at]), pa.array(t["cls"][at].astype(np.int32))], ["word", "count", "cls"])
 
-    top = counted.select("packed").mapInArrow(best, "word long, count long, cls int").orderBy(F.desc("count"), "word").limit(TOP).collect()
-    lexicon = Lexicon(int(in_class.sum()), int(kinds.sum()), np.array([r["word"] for r in top], np.int64).view(np.uint64), in_class, kinds)
-    place = {w: i for i, w in enumerate(lexicon.top.tolist())}
-    for r in top:  # a frequent word leaves the class of its last letters
-        lexicon.in_class[r["cls"]] -= r["count"]
-        lexicon.kinds[r["cls"]] -= 1
-        lexicon.in_class[place[r["word"] % (1 << 64)]] = r["count"]
+    top = counted.select("packed").mapInArrow(best, "word long, count long, cls int").orderBy(F.desc("count"), "word").limit(most).collect()
+    lexicon = Lexicon(int(by_ending.sum()), words, np.array([r["word"] for r in top], np.int64).view(np.uint64), rare, np.zeros(0), np.zeros(0))
+    cls, size = lexicon.of_ending(np.arange(ENDINGS + 1)), len(top) + 1 + rare
+    lexicon.in_class, lexicon.kinds = np.bincount(cls, by_ending, size), np.bincount(cls, kinds, size)
+    if top:  # a frequent word leaves the class of its ending
+        word, count, ending = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top]), np.array([r["cls"] for r in top])
+        np.subtract.at(lexicon.in_class, lexicon.of_ending(ending), count)
+        np.subtract.at(lexicon.kinds, lexicon.of_ending(ending), 1)
+        lexicon.in_class[np.searchsorted(lexicon.top, word)] = count
     return lexicon
 
 
@@ -288,7 +322,7 @@ def _encoded(docs: DataFrame, counted: DataFrame, lexicon, buckets: int, chunks:
         for _rows, data, at in blocks.slices(iter(table.select(["text"]).to_batches())):
             own, cls, _, _ = _words(data, at)
             parts.append({"word": own, "count": np.zeros(len(own), np.int64), "cls": cls})
-        parts.append({"word": np.array([END]), "count": np.zeros(1, np.int64), "cls": np.array([TOP], np.uint16)})
+        parts.append({"word": np.array([END]), "count": np.zeros(1, np.int64), "cls": np.array([ENDINGS], np.uint32)})
         rows = _dealt(_summed(parts), buckets)
         n = len(rows)
         return pa.table({"kind": pa.array([1] * n, pa.int32()), "key": pa.array([r[0] for r in rows], pa.int64()), "back": pa.array([chunk] * n, pa.int64()), "packed": pa.array([r[1] for r in rows], pa.binary())})
@@ -314,9 +348,8 @@ def _encoded(docs: DataFrame, counted: DataFrame, lexicon, buckets: int, chunks:
         known = _summed([_unpack(left.column("packed").to_pylist())])
         lex = lexicon.value
         cls = lex.classes(known["word"], known["cls"])
-        cls[known["word"] == END] = TOP
         base = np.log10((known["count"] + 0.5) / (lex.tokens + 0.5 * (lex.words + 1)))
-        inside = np.where(cls > TOP, np.log10((known["count"] + 0.5) / (lex.in_class[cls] + 0.5 * (lex.kinds[cls] + 1))), 0.0)
+        inside = np.where(cls > lex.end, np.log10((known["count"] + 0.5) / (lex.in_class[cls] + 0.5 * (lex.kinds[cls] + 1))), 0.0)
         end = int(np.searchsorted(known["word"], END))
         out = []
         for rows, data, at in blocks.slices(iter(right.to_batches())):
@@ -325,7 +358,7 @@ def _encoded(docs: DataFrame, counted: DataFrame, lexicon, buckets: int, chunks:
             place = np.insert(place, bounds[1:], end)
             bounds = bounds + np.arange(len(bounds))
             sums = [np.add.reduceat(x[place], bounds[:-1]) for x in (base, inside, (known["count"] > 0).astype(np.int64))]
-            sequence = cls[place].astype(np.uint16)
+            sequence = cls[place].astype(lex.kind)
             classes = [sequence[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             out.append(
                 pa.table({"doc_id": rows.column(0), "held_out": rows.column(1), "n_tokens": np.diff(bounds), "n_known": sums[2], "base_score": sums[0], "within": sums[1], "classes": pa.array(classes, pa.binary())})
@@ -343,13 +376,13 @@ def _encoded(docs: DataFrame, counted: DataFrame, lexicon, buckets: int, chunks:
 # -- training -------------------------------------------------------------------------------
 
 
-def _held(batches, column: int = 0):
+def _held(batches, kind: type, column: int = 0):
     """Rows of batches until so many tokens are held: (batch, its sequences) lists."""
     held, n = [], 0
     for b in batches:
         raws = b.column(column)
         for i in range(b.num_rows):
-            held.append((b, i, np.frombuffer(raws[i].as_buffer(), np.uint16)))
+            held.append((b, i, np.frombuffer(raws[i].as_buffer(), kind)))
             n += len(held[-1][2])
             if n > HELD_TOKENS:
                 yield held
@@ -358,22 +391,23 @@ def _held(batches, column: int = 0):
         yield held
 
 
-def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, steps: int = STEPS) -> Model:
+def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, steps: int = STEPS, kind: type = np.uint16) -> Model:
     """Baum-Welch over the class sequences of all rows that are not held out.
 
     It ends after `steps` steps, or when a step gained less than LEAST_GAIN nats a token.
     """
     spark = encoded.sparkSession
     training = encoded.filter(~F.col("held_out"))
-    model, before = Model.random(states, CLASSES, frequency), -np.inf
+    classes = len(frequency)
+    model, before = Model.random(states, classes, frequency), -np.inf
     for _ in range(steps):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches, sent=sent):
             k = len(sent.value.start)
-            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
+            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
             log = 0.0
-            for held in _held(batches):
+            for held in _held(batches, kind):
                 for part in _batches([h[2] for h in held]):
                     a, b, c, d = expected(sent.value, [held[i][2] for i in part])
                     start += a
@@ -417,10 +451,11 @@ def score(docs: DataFrame) -> DataFrame:
     lexicon = _lexicon(counted)
     sent = spark.sparkContext.broadcast(lexicon)
     encoded = _encoded(docs, counted, sent, buckets, chunks)
-    model = spark.sparkContext.broadcast(train(encoded, lexicon.frequency))
+    kind = lexicon.kind
+    model = spark.sparkContext.broadcast(train(encoded, lexicon.frequency, kind=kind))
 
     def likelihood(batches):
-        for held in _held(batches, 6):
+        for held in _held(batches, kind, 6):
             logs = np.empty(len(held))
             for part in _batches([h[2] for h in held]):
                 logs[part] = forward(model.value, [held[i][2] for i in part])
