@@ -46,8 +46,8 @@ SHORT_LIST, BLOCK, COLUMNS = 64, 1024, 4096
 HELD_POSTS = 1_000_000
 #: Text, about, of the posts that are listed together.
 BUCKET_BYTES = 16 << 20
-#: Bits of the filter that picks documents to be read again.
-PICK_BITS = 24
+#: Most classes that a bit table picks to be read again; more are picked by a join.
+MOST_PICKED = 1 << 20
 
 _K = np.uint64(0x9FB21C651E98DF25)
 
@@ -267,35 +267,42 @@ def _lists(docs: DataFrame, order, size: int) -> DataFrame:
 def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str, make) -> DataFrame:
     """Rows made from one document of each of the named classes.
 
-    Documents are read again; a bit table of fixed size, however many names there are,
-    passes over most of the others. What it lets through besides is never asked for, and
-    what two tasks make of one class is the same.
+    Documents are read again. Up to MOST_PICKED classes a bit table of 16 bits a class (2 MB
+    at most) passes over nearly all others; more are picked by a join on the key. What the
+    table lets through besides is never asked for, and what two tasks make of one class is
+    the same.
     """
     spark = docs.sparkSession
     wanted = names.select("name").distinct()
-    keys = described.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
-    words = 1 << (PICK_BITS - 6)
-    bit = F.expr(f"shiftrightunsigned(key, {64 - PICK_BITS})")
-    table = keys.select((bit / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - PICK_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(words, np.int64)
-    got = table.collect()  # at most 2^18 rows, whatever the input
-    bits[[r["w"] for r in got]] = [r["b"] for r in got]
-    sent = spark.sparkContext.broadcast(bits.view(np.uint64))
+    keys = blocks.written(described.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")).select("key"), spark)
+    n = keys.count()
+    shift = 64 - max(12, (16 * n).bit_length())
+    read = docs.select(F.xxhash64("doc_id").alias("key"), "text")
+    sent = None
+    if n > MOST_PICKED:
+        read = read.join(keys.distinct(), "key", "left_semi")
+    else:
+        table = keys.select(F.expr(f"shiftrightunsigned(key, {shift}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {shift}) % 64 as int))").alias("b"))
+        table = table.groupBy("w").agg(F.bit_or("b").alias("b"))
+        bits = np.zeros(1 << (58 - shift), np.int64)
+        got = table.collect()  # a row for each 64 bits at most
+        bits[[r["w"] for r in got]] = [r["b"] for r in got]
+        sent = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     def run(batches):
         f, seen = make(), set()
         for b in batches:
-            key = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - PICK_BITS)
-            kept = sent.value[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)
-            b = b.filter(pa.array(kept.astype(bool)))
+            if sent:
+                key = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(shift)
+                kept = sent.value[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)
+                b = b.filter(pa.array(kept.astype(bool)))
             for _rows, data, at in blocks.slices(iter([b])):
                 own = {name_of(s): s for s in shingles(data, at) if len(s)}
                 own = [(name, s) for name, s in own.items() if name not in seen]
                 seen.update(name for name, _ in own)
                 yield f(own)
 
-    made = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, form)
-    out = blocks.written(made, spark)
+    out = blocks.written(read.mapInArrow(run, form), spark)
     blocks.tidy(spark)
     return out
 
@@ -473,21 +480,41 @@ def cluster(docs: DataFrame) -> DataFrame:
         found = found.unionAll(blocks.written(_in_blocks(long_, order), spark))
         blocks.tidy(spark)
     roots = components(found)
-    # a class's smallest document, then a component's
-    known = described.join(roots, described["name"] == roots["node"], "left").withColumn("root", F.coalesce("root", "name"))
-    least = known.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a class's smallest document, then a component's; copies are no more than their class from here on
+    classes = described.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    rooted = classes.join(roots, classes["name"] == roots["node"], "left").select("name", "least", "copies", F.coalesce("root", "name").alias("root"))
+    rooted = blocks.written(rooted, spark)
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = _with_unique(rooted, smallest, "root", "members", spark).select("name", "copies", "component_id")
+    out = _with_unique(described, blocks.written(named, spark), "name", "copies", spark)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id"))
+
+
+def _with_unique(rows: DataFrame, told: DataFrame, key: str, often: str, spark: SparkSession) -> DataFrame:
+    """rows left-joined with told, which has a key once and in `often` how many rows have it.
+
+    Keys of more than a two-thousandth of all rows, of which there are less than 2,000, are
+    sent to all tasks; the others are joined by a shuffle that no key makes uneven.
+    """
+    total = told.agg(F.sum(often)).first()[0] or 0
+    hot = told.filter(F.col(often) > total // 2000 + 1000).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in told.columns if c != key))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    added = [c for c in told.columns if c != key and c not in rows.columns]
+    often_met = dealt.filter("hot_key is not null").select(*rows.columns, *(F.col(f"hot_{c}").alias(c) for c in added))
+    rest = dealt.filter("hot_key is null").select(*rows.columns).join(told.select(key, *added), key, "left").select(*rows.columns, *added)
+    return often_met.unionAll(rest)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component; of equal rows one stays.
+    """The document of smallest doc_id of each component, with the columns of docs; of equal rows one stays.
 
     Documents without words are in no component and stay.
     """
-    kept = cluster(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+    kept_id, tag = blocks.unused(docs, "kept"), blocks.unused(docs, "tag")
+    kept = cluster(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return out.withColumn(tag, F.xxhash64("text")).dropDuplicates(["doc_id", tag]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from siskin.llm import blocks
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Rows (node, root) for every node with a link; root is the smallest node reachable.
 
     links: columns a and b. Each round writes its links to the shared folder, so lineage
-    stays short and a lost executor costs one round.
+    stays short and a lost executor costs one round. It ends when a round changes nothing.
     """
     spark = links.sparkSession
     edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = blocks.written(edges, spark)
     before = None
-    for _ in range(most_rounds):
+    while True:
         # large star: all larger neighbours of a node go to its smallest neighbour or itself
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -31,4 +31,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError("components did not settle")
