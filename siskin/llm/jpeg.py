@@ -528,8 +528,10 @@ def to_tensors(media: DataFrame, column: str = "media") -> DataFrame:
             out.append((None, None, None) if got is None else (got.shape[1], got.shape[0], got.tobytes()))
         return pd.DataFrame(out, columns=["width", "height", "tensor"])
 
-    kept = media.drop("width", "height", "tensor", "_t").withColumn("_t", tensors(column))
-    return kept.select("*", "_t.width", "_t.height", "_t.tensor").drop("_t")
+    kept = media.drop("width", "height", "tensor")
+    made = blocks.unused(kept, "made")
+    out = kept.withColumn(made, tensors(column))
+    return out.select(*kept.columns, f"{made}.width", f"{made}.height", f"{made}.tensor")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,26 +140,25 @@ def place(found: DataFrame, window: int = 2048, length: str = "length", order: t
     if total and most > window:
         raise ValueError(f"a piece of {most} is longer than the window of {window}")
     buckets = max(16, total // PIECES_PER_BUCKET)
-    keyed = found.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy(F.col(length).alias("_length"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # the given row travels as one value, so its columns' names meet none of those below
+    hashed = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
+    keyed = found.select(F.struct(*found.columns).alias("given"), F.col(length).alias("length"), hashed.alias("bucket"))
+    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # at most `window` lengths: the histogram is bounded
-    histogram = {r["_length"]: r["n"] for r in counts.groupBy("_length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(histogram, window)
-    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = Window.partitionBy(length, "_bucket").orderBy(*order)
-    keyed = keyed.withColumn("_row", F.row_number().over(ranked) - 1)
-    keyed = keyed.join(offsets.withColumnRenamed("_bucket", "_b"), (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_b")))
-    keyed = keyed.withColumn("_rank", F.col("_row") + F.col("_before"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = Window.partitionBy("length", "bucket").orderBy(*(f"given.{c}" for c in order))
+    keyed = keyed.withColumn("row", F.row_number().over(ranked) - 1)
+    keyed = keyed.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("row") + F.col("before"))
     # the plan has a few rows for each length, whatever the input: bounded, so it is broadcast
     schema = "p_length long, p_rank long, p_n long, p_window long, p_each long, p_offset long"
     steps = F.broadcast(spark.createDataFrame(rows, schema))
-    fits = (F.col(length) == F.col("p_length")) & (F.col("_rank") >= F.col("p_rank")) & (F.col("_rank") < F.col("p_rank") + F.col("p_n"))
-    nth = F.col("_rank") - F.col("p_rank")
-    out = keyed.join(steps, fits).withColumns(
-        {"sequence_id": F.col("p_window") + F.expr("(_rank - p_rank) div p_each"), "offset": F.col("p_offset") + nth % F.col("p_each") * F.col(length)}
-    )
-    return out.select(*found.columns, "sequence_id", "offset")
+    fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_n"))
+    nth = F.col("rank") - F.col("p_rank")
+    sequence, offset = F.col("p_window") + F.expr("(rank - p_rank) div p_each"), F.col("p_offset") + nth % F.col("p_each") * F.col("length")
+    return keyed.join(steps, fits).select("given.*", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, window: int = 2048, path: str | None = None, end_id: int = 1) -> DataFrame:
@@ -175,6 +174,7 @@ def pack(docs: DataFrame, window: int = 2048, path: str | None = None, end_id: i
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, as pack() gives them; columns beyond doc_id and text are not looked at."""
     return pack(docs)
 
 
