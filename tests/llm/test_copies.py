@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from siskin.llm import blocks, hmm, jaccard, lines, links, packing, substrings
 
 LAST = 1 << 62
+#: Classes of the small models below.
+CLASSES = 5121
 
 
 def order(rows):
@@ -59,6 +61,27 @@ def test_substrings_within_one_text(spark, empty):
     assert substrings.remove(empty).count() == 0
 
 
+def test_substrings_edges(clashing, spark, rows):
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.remove(clashing).collect()}
+    assert got == {k: v[0][3] for k, v in brute_substrings(rows[:8]).items()}
+
+
+def test_refinement_finds_equal_windows():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        data = rng.integers(97, 99, 400).astype(np.uint8)
+        data[200:350] = data[20:170]
+        t = {"doc": np.arange(2), "tag": np.zeros(2, np.uint32), "start": np.zeros(2, np.uint32)}
+        w = substrings._windows(data, np.array([0, 200]), np.array([101, 101]), t)
+        out = substrings.refined(w)
+        seen, want = set(), []
+        for d, p in zip([0] * 101 + [1] * 101, [*range(101), *range(101)], strict=True):
+            x = data[200 * d + p : 200 * d + p + 100].tobytes()
+            want += [(d, p)] if x in seen else []
+            seen.add(x)
+        assert sorted(zip(out["doc"].tolist(), out["start"].tolist(), strict=True)) == want
+
+
 # -- lines ------------------------------------------------------------------------------------
 
 
@@ -104,9 +127,68 @@ def test_lines_between_powers(spark, empty):
         assert got == {k[0]: v for k, v in want.items()}, least
 
 
+def test_lines_of_few_kinds(spark, empty):
+    """Blank lines, lines of one to six words, and runs of all lengths that occur again and again."""
+    import random
+
+    rng = random.Random(8)
+    kinds = ["", "", "a", "b", "c d e", "f g h i j k"]
+    texts = ["\n".join(rng.choice(kinds[: rng.choice((2, 4, 6))]) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], empty.schema)
+    for least in (2, 7):
+        want = brute_lines(list(enumerate(texts)), least)
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.remove(df, least).collect()}
+        assert got == {k[0]: v for k, v in want.items()}, least
+
+
+def test_long_equal_texts(spark, empty):
+    """A copy of 20,000 lines goes but for its last line."""
+    text = "\n".join(f"line number {i} of a long text" for i in range(20_000))
+    df = spark.createDataFrame([(1, text, "", "", 0), (2, text + "\nthe end", "", "", 0)], empty.schema)
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.remove(df).collect()}
+    assert got[1] == (0, text) and got[2] == (20_000, "the end")
+
+
+def test_ranks_name_runs():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 3, 500).astype(np.uint64)
+    for level in range(6):
+        named = {}
+        for i, x in enumerate(lines.ranks(ids, level).tolist()):
+            assert named.setdefault(x, tuple(ids[i : i + (1 << level)])) == tuple(ids[i : i + (1 << level)])
+        assert len(set(named.values())) == len(named)
+    assert len(lines.ranks(ids[:3], 2)) == 0
+
+
+def test_shortest_runs_decide():
+    """Deleting by all repeated runs and by the shortest ones with enough words is the same."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        words = rng.choice([0, 0, 1, 2, 5], rng.integers(1, 14))
+        least, n = int(rng.integers(1, 9)), len(words)
+        repeated = np.zeros((n, n + 1), bool)
+        for i in range(n):  # a part of a repeated run is repeated
+            repeated[i, i + 1 : i + 1 + rng.integers(0, n - i + 1)] = True
+        for i in range(n - 1):
+            for j in range(i + 2, n + 1):
+                if repeated[i, j]:
+                    repeated[i + 1, i + 2 : j + 1] = True
+        whole, few = np.zeros(n, bool), np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                if repeated[i, j] and words[i:j].sum() >= least:
+                    whole[i:j] = True
+        for i, k in zip(*lines.shortest(words, least), strict=True):
+            if repeated[i, i + k]:
+                few[i : i + k] = True
+        assert (whole == few).all()
+
+
 def test_lines_edges(empty, clashing):
     assert lines.remove(empty).count() == 0
-    out = lines.remove(clashing)
+    named = clashing.withColumns({f"_{c}": F.lit("mine") for c in ("tag", "doc", "gone", "d", "t", "its_doc", "stays", "lost")})
+    out = lines.remove(named)
+    assert out.filter("_tag = 'mine' and _lost = 'mine' and _doc = 'mine'").count() == 8
     assert out.columns.count("n_lines") == 1 and out.filter("root = 'mine'").count() == 8
 
 
@@ -223,9 +305,9 @@ def test_recursions_against_all_paths():
 def test_steps_do_not_lose_likelihood():
     rng = np.random.default_rng(2)
     seqs = [np.where(rng.random(30) < 0.9, rng.integers(0, 5, 30) + 5 * (i % 2), 11).astype(np.uint16) for i in range(40)]
-    freq = np.bincount(np.concatenate(seqs), minlength=hmm.CLASSES) + 0.5
+    freq = np.bincount(np.concatenate(seqs), minlength=CLASSES) + 0.5
     freq /= freq.sum()
-    model, logs = hmm.Model.random(2, hmm.CLASSES, freq), []
+    model, logs = hmm.Model.random(2, CLASSES, freq), []
     for _ in range(12):
         *counts, log = hmm.expected(model, seqs)
         logs.append(log)
@@ -245,19 +327,52 @@ def test_scores(docs, rows, empty):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert hmm.score(empty.withColumn("held_out", F.lit(False))).count() == 0
+    assert hmm.score(docs.withColumns({c: F.lit("mine") for c in ("chunk", "bucket", "key", "packed", "classes", "within")})).count() == len(rows)
     untrained = hmm.score(docs.withColumn("held_out", F.lit(True))).collect()
     assert len(untrained) == len(rows) and all(r["n_known"] == 0 for r in untrained)
 
 
+def test_scores_of_one_state_are_products_of_shares(docs, rows, monkeypatch):
+    """With one state that emits classes by their frequency, a text's score follows from counts alone."""
+    monkeypatch.setattr(hmm, "train", lambda encoded, frequency, **_: hmm.Model(np.ones(1), np.ones((1, 1)), frequency[None, :]))
+    monkeypatch.setattr(hmm, "TOP", 20)
+    monkeypatch.setattr(hmm, "TOP_PER_ROOT", 1)
+    monkeypatch.setattr(hmm, "RARE", 7)
+    monkeypatch.setattr(hmm, "RARE_PER_ROOT", 0)
+    held = lambda d: zlib.crc32(str(d).encode() if d is not None else b"") % 5 == 1
+    tokens = [(d, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]) for d, t, *_ in rows]
+    c = collections.Counter(w for d, ws in tokens if not held(d) for w in ws)
+    least = max(20, math.isqrt(len(c)))
+    counts = sorted((n for w, n in c.items() if w), reverse=True)
+    assert len(counts) > least
+    if counts[least - 1] == counts[least]:  # which of equally frequent words is taken is by hash: such are not judged
+        bound = counts[least]
+    else:
+        bound = -1
+    own = {w for w, n in c.items() if w and n > bound} if bound >= 0 else {w for w, n in c.items() if w and n >= counts[least - 1]}
+
+    size = least + 1 + 7
+    total = sum(c.values())
+    out = {(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(docs.withColumn("held_out", blocks.held_out("doc_id", 1))).collect()}
+    judged = 0
+    for d, ws in tokens:
+        if all(w is None or w in own for w in ws):
+            want = sum(math.log10((c[w] + 0.5) / (total + 0.5 * size)) for w in ws)
+            assert out[d, len(ws)] == pytest.approx(want)
+            judged += 1
+    assert judged >= 3
+    assert all(math.isfinite(x) and x < 0 for x in out.values())
+
+
 def test_training_reads_whole_documents(spark):
     rng = np.random.default_rng(6)
     # the first 2000 tokens of each text are of one kind, the tails of two others
     seqs = [np.concatenate([rng.integers(0, 9, 2000), rng.integers(10, 19, 700) + 10 * (i % 2)]).astype(np.uint16) for i in range(12)]
-    freq = np.bincount(np.concatenate(seqs), minlength=hmm.CLASSES) + 0.5
+    freq = np.bincount(np.concatenate(seqs), minlength=CLASSES) + 0.5
     freq /= freq.sum()
     rows = [(i, False, s.tobytes()) for i, s in enumerate(seqs)] + [(99, True, seqs[0][::-1].tobytes())]
     got = hmm.train(spark.createDataFrame(rows, "doc_id long, held_out boolean, classes binary"), freq)
-    want, before, n = hmm.Model.random(hmm.STATES, hmm.CLASSES, freq), -math.inf, sum(map(len, seqs))
+    want, before, n = hmm.Model.random(hmm.STATES, CLASSES, freq), -math.inf, sum(map(len, seqs))
     for _ in range(hmm.STEPS):
         *counts, log = hmm.expected(want, seqs)
         want = hmm.improved(tuple(counts), freq)
@@ -297,3 +412,27 @@ def test_pipeline(spark, tmp_path, docs, rows):
     assert key(whole) == key(kept)
     assert packing.pack(spark.read.parquet(str(tmp_path / "3"))).count() == kept.count()
     assert hashlib  # imported for fixtures that print digests
+
+
+def test_stages_keep_the_columns_of_others(clashing):
+    """Columns named like those that stages add pass through as they are, also in the stages' own names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    named = clashing.withColumns({n: F.lit("mine") for n in ("_tag", "_kept", "_doc", "_gone", "_d", "_spans", "_shown", "_lang", "_score", "held_0")})
+    spark = clashing.sparkSession
+    mine = [c for c in named.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, named, "")
+        assert out.columns == named.columns, name
+        assert out.filter(" or ".join(f"`{c}` <> 'mine' or `{c}` is null" for c in mine)).count() == 0, name
+        assert out.count() > 0, name
+    assert pipeline.STAGES[-1][1](spark, named, "").count() > 0
+
+
+def test_an_empty_table_through_the_pipeline(spark, empty, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+    kept = empty
+    for _, stage in pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.count() == 0

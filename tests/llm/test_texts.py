@@ -46,17 +46,60 @@ def test_langid(docs, empty, clashing):
 
 def test_filter_never_misses_and_corrects():
     rng = np.random.default_rng(1)
-    names = rng.integers(0, 1 << langid.NAME_BITS, 3000)
+    names = rng.integers(-(1 << 63), 1 << 63, 3000)
     counted = [("ab"[i % 2], int(n), 0.001) for i, n in enumerate(names)]
     model = langid.build(counted, 0.25)
     for bit, lang in enumerate(model.langs):
-        mine = np.array([n for l, n, _ in counted if l == lang], np.uint64)
+        mine = np.array([n for l, n, _ in counted if l == lang], np.int64).view(np.uint64)
         assert (model.languages(mine) >> np.uint64(bit) & np.uint64(1)).all()
-    others = np.setdiff1d(np.arange(1 << langid.NAME_BITS), names).astype(np.uint64)[:200_000]
+    others = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
     rate = (model.languages(others) & np.uint64(1)).mean()
     assert abs(rate - model.wrong[0]) < 0.02
 
 
+def brute_grams(text):
+    """2- to 4-grams of lower-cased words, a space before and after each word."""
+    out = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for k in langid.ORDERS:
+            out += [" " + word[: k - 1]] if len(word) >= k - 1 else []
+            whole = word + " "
+            out += [whole[i : i + k] for i in range(len(whole) - k + 1)]
+            if len(word) == k - 2:
+                out.append(" " + word + " ")
+    return out
+
+
+def test_op1_query_against_exact_sets(spark, stored, rows):
+    """Predictions from plain dictionaries of the grams' strings, without hashes or a filter."""
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0
+    counts = {}
+    for doc_id, text, lang, *_ in rows:
+        if text is not None and lang is not None and not held(doc_id):
+            c = counts.setdefault(lang, {})
+            for g in brute_grams(text):
+                c[g] = c.get(g, 0) + 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {}
+    for c in share.values():
+        for g, x in c.items():
+            top[g] = max(top.get(g, 0), x)
+    sets = {lang: {g for g, x in c.items() if x >= 1e-5 and x >= 0.25 * top[g]} for lang, c in share.items()}
+    got = {(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in langid.query(spark, stored).collect()}
+    by_id = {r["doc_id"]: r for r in langid.query(spark, stored).collect()}
+    assert len({g[:2] for g in got}) == len({r[0] for r in rows})
+    for doc_id, text, *_ in rows:
+        r = by_id[doc_id]
+        assert r["held_out"] == held(doc_id)
+        grams = brute_grams(text or "")
+        if not grams:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        exact = {lang: sum(g in s for g in grams) / len(grams) for lang, s in sets.items()}
+        assert abs(r["score"] - max(exact.values())) < 0.02, (doc_id, r, exact)
+        assert exact[r["lang_pred"]] > max(exact.values()) - 0.02, (doc_id, r, exact)
+
+
 def test_many_languages():
     counted = [(f"l{i:03}", 1000 * i + j, 0.01) for i in range(70) for j in range(40)]
     model = langid.build(counted, 0.25)
@@ -180,6 +223,13 @@ def test_packed_documents(docs, rows, empty, library):
     assert packing.pack(empty).count() == 0
 
 
+def test_pieces_with_clashing_columns(spark, clashing):
+    found = spark.createDataFrame([(i % 5, i, 1 + i % 9, "mine") for i in range(40)], "doc_id long, start long, length long, rank string").withColumns({c: F.lit("mine") for c in ("bucket", "before", "n", "row", "given", "p_n")})
+    out = packing.place(found, 16)
+    assert out.columns == [*found.columns, "sequence_id", "offset"] and out.filter("rank = 'mine' and before = 'mine' and row = 'mine'").count() == 40
+    assert packing.pack(clashing).select("doc_id").distinct().count() == 8
+
+
 def test_place_rejects_long_pieces(spark):
     with pytest.raises(ValueError):
         packing.place(spark.createDataFrame([(1, 0, 9)], "doc_id long, start long, length long"), 8)
@@ -188,29 +238,43 @@ def test_place_rejects_long_pieces(spark):
 # -- fingerprints -----------------------------------------------------------------------------
 
 
-def units(text):
-    return re.findall(r"\S{1,32}", text)
+UNIT = re.compile(r"(?<!\S)\S{1,32}(?!\S)|(\S)\1{0,31}")
+
+
+def turned(x, n):
+    n %= 64
+    return (x << n | x >> 64 - n) & (1 << 64) - 1 if n else x
+
+
+def brute_fingerprint(text, unit_hash, k=winnow.K, w=winnow.W):
+    """[(hash, position)] that winnowing selects, each gram's hash made alone."""
+    u = [unit_hash[m[0]] for m in UNIT.finditer(text or "")]
 
+    def gram(part):
+        h = 0
+        for i, x in enumerate(part):
+            h ^= turned(x, len(part) - 1 - i)
+        return h - (1 << 64) if h >> 63 else h
 
-def brute_windows(text, k=winnow.K, w=winnow.W):
-    """(gram text, position) of the grams that winnowing selects, by an order of the grams' keys."""
-    spans = [m.span() for m in re.finditer(r"\S{1,32}", text)]
-    grams = [text[spans[i][0] : spans[i + k - 1][1]] for i in range(len(spans) - k + 1)]
-    return grams or ([text.strip()] if spans else [])
+    g = [gram(u[i : i + k]) for i in range(len(u) - k + 1)] or ([gram(u)] if u else [])
+    key = [(x >> winnow.POSITION_BITS, -i) for i, x in enumerate(g)]
+    picked = [min(key[i : i + w]) for i in range(max(1, len(g) - w + 1))] if g else []
+    return [(g[-i], -i) for _, i in dict.fromkeys(picked)]
 
 
-def test_winnowing_against_brute_force(spark, docs, rows):
-    keys = docs.filter("text is not null").select("doc_id", "text").distinct()
-    grams = [(r["doc_id"], g) for r in keys.collect() for g in brute_windows(r["text"])]
-    hashes = {(r["d"], r["g"]): r["h"] for r in spark.createDataFrame(grams, "d long, g string").distinct().withColumn("h", F.xxhash64("g")).collect()}
-    got = {(r["doc_id"]): r["fingerprint"] for r in winnow.fingerprint(docs).filter("doc_id is not null").collect()}
-    low = (1 << winnow.POSITION_BITS) - 1
+def unit_hashes(spark, texts):
+    units = sorted({m[0] for t in texts if t for m in UNIT.finditer(t)})
+    return {r["u"]: r["h"] % (1 << 64) for r in spark.createDataFrame([(u,) for u in units], "u string").withColumn("h", F.xxhash64("u")).collect()}
+
+
+@pytest.mark.parametrize(("k", "w"), [(winnow.K, winnow.W), (1, 2), (6, 4), (8, 16)])
+def test_winnowing_against_brute_force(spark, docs, rows, k, w):
+    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    known = unit_hashes(spark, [r[1] for r in rows])
+    got = {r["doc_id"]: [(x["hash"], x["position"]) for x in r["fingerprint"]] for r in winnow.fingerprint(texts, k=k, w=w).collect()}
     for doc_id, text, *_ in rows:
-        if doc_id is None:
-            continue
-        h = [(hashes[doc_id, g] & ~low) | (low - i) for i, g in enumerate(brute_windows(text or ""))]
-        windows = [min(h[i : i + winnow.W]) for i in range(max(1, len(h) - winnow.W + 1))] if h else []
-        assert got[doc_id] == list(dict.fromkeys(windows)), doc_id
+        if doc_id is not None:
+            assert got[doc_id] == brute_fingerprint(text, known, k, w), doc_id
 
 
 def test_winnowing_of_unspaced_text_follows_its_content(spark):
@@ -228,20 +292,38 @@ def test_winnowing_of_unspaced_text_follows_its_content(spark):
     assert len(h[8]) == 1
 
 
-def test_edited_texts(spark, docs, rows, empty):
+def test_edited_texts(spark, docs, rows, empty, clashing):
     rows = [r for r in rows if r[0] != 88]
     docs = docs.filter("doc_id is null or doc_id != 88")
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     got = {r["doc_id"]: r for r in winnow.edited(docs).collect()}
-    for i, r in enumerate(order):
-        text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
-        third = len(text) // 3
-        assert got[r[0]]["n_chars"] == len(text)
-        assert got[r[0]]["edited_sha256"] == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest(), r[0]
-        assert 0 <= got[r[0]]["near_edited"] <= 1
+    after = {r[0]: order[(i + 1) % len(order)][1] or "" for i, r in enumerate(order)}
+    cut = lambda text: len(text) - len(text) // 3
+    made = {r[0]: (r[1] or "")[: cut(r[1] or "")] + after[r[0]][: len(r[1] or "") // 3] for r in order}
+    known = unit_hashes(spark, [*made.values(), *(r[1] for r in rows)])
+    told = lambda text: brute_fingerprint(text, known)
+    shown = lambda f: " ".join(f"{h % (1 << 64):X}@{i}" for h, i in f)
+
+    def alike(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for doc_id, text, *_ in order:
+        r, text = got[doc_id], text or ""
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(made[doc_id].encode()).hexdigest(), doc_id
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(told(text)), shown(told(made[doc_id])))
+        assert r["near_edited"] == alike(told(text), told(made[doc_id])) and r["near_next"] == alike(told(text), told(after[doc_id]))
     assert winnow.edited(empty).count() == 0
     one = spark.createDataFrame([(5, "one text alone", "en", "", 1)], docs.schema)
     assert winnow.edited(one).first()["near_next"] == 1
+    assert winnow.edited(clashing).count() == 8
+
+
+def test_next_of_equal_and_null_ids(spark):
+    rows = spark.createDataFrame([(None, "c"), (None, "d"), (7, "a"), (7, "b")], "i long, t string")
+    got = {r["t"]: r["n"] for r in winnow.with_next(rows, "i", [F.col("t")], {"n": "t"}, 100).collect()}
+    assert got == {"a": "b", "b": "c", "c": "d", "d": "a"}
 
 
 def test_next_over_many_buckets(spark, monkeypatch):
@@ -330,6 +412,8 @@ def test_a_general_progressive_file():
 
 
 def test_media_columns(docs, rows, empty, clashing):
+    own = jpeg.to_tensors(jpeg.to_media(clashing.withColumn("_made", F.lit("mine"))))
+    assert own.filter("_made = 'mine' and length(tensor) > 0").count() == 8
     out = jpeg.to_tensors(jpeg.to_media(docs)).filter("doc_id = 4").first()
     assert len(out["tensor"]) == 3 * out["width"] * out["height"] and bytes(out["media"][:2]) == b"\xff\xd8"
     assert jpeg.to_media(empty).count() == 0
@@ -338,6 +422,21 @@ def test_media_columns(docs, rows, empty, clashing):
     assert jpeg.to_media(clashing).schema["media"].dataType.simpleString() == "binary"
 
 
+def test_op6_query_against_the_texts(spark, stored, rows):
+    got = {}
+    for r in jpeg.query(spark, stored).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for doc_id, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        media = jpeg.store(payload)
+        read = jpeg.Decoder(media)
+        for r in got[doc_id]:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+            assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), jpeg.features(read.tensor()))
+
+
 def test_colour_and_upsampling():
     read = jpeg.Decoder(jpeg.store(b"\x80" * 384))
     t = read.tensor()
@@ -421,6 +520,32 @@ def test_neighbouring_numbers_are_proposed_apart(model):
     assert ("card", 5, 24) in pii.find([text], model)[0][1]
 
 
+def test_op7_query_against_the_rules(spark, tmp_path, model):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a@b.co ", "10.0.0.", "1", "255", "4012 8888 8888 1881", "+1 (830) 555-5433", " at ", "é", "x", " ", "-", "."]) for _ in range(30)) for _ in range(60)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.query(spark, str(tmp_path)).collect():
+        base = brute_spans(texts[r["doc_id"]] or "")
+        told = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(told(base).encode()).hexdigest()
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2])) and told(spans) == r["spans"]
+
+
+def test_long_texts_take_time_in_proportion(model):
+    import time
+
+    line = "call (555) 123-4567 or write to a.b (at) host (dot) com, order 12345678\n"
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        spans = pii.find([line * n], model)[0][1]
+        took.append(time.process_time() - began)
+        assert len(spans) == 2 * n
+    assert took[1] < 16 * took[0]
+
+
 def test_redaction(docs, empty, clashing, spark, model):
     some = spark.createDataFrame([(1, "to a@b.co and +1 (830) 555-5433."), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["pii_text"] for r in pii.redact(some, model).collect()}
