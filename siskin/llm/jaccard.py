@@ -439,8 +439,12 @@ def _in_blocks(rows: DataFrame, order) -> DataFrame:
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists with members of more than one component, each member with its component."""
     labelled = lists.join(roots, lists["name"] == roots["node"], "left").withColumn("root", F.coalesce("root", "name")).drop("node")
-    open_ = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("list")
-    return labelled.join(open_, "list", "left_semi")
+    open_ = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("members")).filter("lo < hi")
+    # long lists are dealt in parts, so none is one task's
+    parts = F.ceil(F.col("members") / BLOCK)
+    open_ = open_.select("list", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    dealt = labelled.withColumn("part", F.pmod(F.xxhash64("name", F.lit(5)), parts))
+    return dealt.join(open_, ["list", "part"], "left_semi").drop("part")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
