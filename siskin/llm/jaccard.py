@@ -264,7 +264,7 @@ def _lists(docs: DataFrame, order, size: int) -> DataFrame:
     return out
 
 
-def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str, make) -> DataFrame:
+def _picked(docs: DataFrame, classes: DataFrame, names: DataFrame, form: str, make) -> DataFrame:
     """Rows made from one document of each of the named classes.
 
     Documents are read again. Up to MOST_PICKED classes a bit table of 16 bits a class (2 MB
@@ -274,7 +274,7 @@ def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str,
     """
     spark = docs.sparkSession
     wanted = names.select("name").distinct()
-    keys = blocks.written(described.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")).select("key"), spark)
+    keys = blocks.written(classes.join(wanted, "name", "left_semi").select("key"), spark)
     n = keys.count()
     shift = 64 - max(12, (16 * n).bit_length())
     read = docs.select(F.xxhash64("doc_id").alias("key"), "text")
@@ -307,7 +307,7 @@ def _picked(docs: DataFrame, described: DataFrame, names: DataFrame, form: str,
     return out
 
 
-def _prefixes(docs, described, names, order):
+def _prefixes(docs, classes, names, order):
     def make():
         def f(sets):
             rows = [(name, len(s), *order.value.prefix(s)) for name, s in sets]
@@ -318,17 +318,17 @@ def _prefixes(docs, described, names, order):
 
         return f
 
-    return _picked(docs, described, names, "name long, n int, matches int, prefix array<bigint>", make)
+    return _picked(docs, classes, names, "name long, n int, matches int, prefix array<bigint>", make)
 
 
-def _sets(docs, described, names):
+def _sets(docs, classes, names):
     def make():
         def f(sets):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1].view(np.int64) for x in sets], pa.list_(pa.int64()))], ["name", "shingles"])
 
         return f
 
-    return _picked(docs, described, names, "name long, shingles array<bigint>", make)
+    return _picked(docs, classes, names, "name long, shingles array<bigint>", make)
 
 
 def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -353,14 +353,14 @@ def _names(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name")))
 
 
-def _agreeing(docs, described, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _agreeing(docs, classes, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs that agree, by prefixes first and then by whole sets."""
     spark = docs.sparkSession
     possible = blocks.written(_possible(pairs, prefixes).distinct(), spark)
     blocks.tidy(spark)
     if possible.isEmpty():
         return possible
-    out = blocks.written(_verified(possible, _sets(docs, described, _names(possible))), spark)
+    out = blocks.written(_verified(possible, _sets(docs, classes, _names(possible))), spark)
     blocks.tidy(spark)
     return out
 
@@ -461,22 +461,25 @@ def cluster(docs: DataFrame) -> DataFrame:
     size = blocks.input_bytes(docs)
     described, counted = _described(docs)
     order = spark.sparkContext.broadcast(counted)
+    # copies are combined before any join by class
+    classes = described.filter("n_shingles > 0").groupBy("name").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = blocks.written(classes, spark)
     lists = _lists(docs, order, size)
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * NEED
     # each list's members against its smallest
     star = lists.filter((F.col("name") != F.col("least")) & fits(F.col("n"), F.col("least_n"))).select(F.col("least").alias("a"), F.col("name").alias("b")).distinct()
-    prefixes = _prefixes(docs, described, lists, order)
-    links = _agreeing(docs, described, star, prefixes)
+    prefixes = _prefixes(docs, classes, lists, order)
+    links = _agreeing(docs, classes, star, prefixes)
     roots = components(links)
     # what is still apart
     apart = blocks.written(_apart(lists, roots), spark)
     x, y = (apart.filter(F.col("members") <= SHORT_LIST).select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "root"))) for s in "ab")
     short = x.join(y, "list").filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
     short = blocks.written(short.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct(), spark)
-    found = links.unionAll(_agreeing(docs, described, short, prefixes))
+    found = links.unionAll(_agreeing(docs, classes, short, prefixes))
     long_ = apart.filter(F.col("members") > SHORT_LIST)
     if not long_.isEmpty():
-        long_ = long_.join(_sets(docs, described, long_), "name").dropDuplicates(["list", "name"])
+        long_ = long_.join(_sets(docs, classes, long_), "name").dropDuplicates(["list", "name"])
         n_parts = F.ceil(F.col("members") / BLOCK)
         long_ = long_.withColumn("part", F.pmod(F.xxhash64("name", F.lit(3)), n_parts))
         long_ = long_.withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), n_parts - 1)))
@@ -484,8 +487,7 @@ def cluster(docs: DataFrame) -> DataFrame:
         found = found.unionAll(blocks.written(_in_blocks(long_, order), spark))
         blocks.tidy(spark)
     roots = components(found)
-    # a class's smallest document, then a component's; copies are no more than their class from here on
-    classes = described.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a class's smallest document, then a component's
     rooted = classes.join(roots, classes["name"] == roots["node"], "left").select("name", "least", "copies", F.coalesce("root", "name").alias("root"))
     rooted = blocks.written(rooted, spark)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
