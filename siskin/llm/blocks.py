@@ -242,6 +242,23 @@ def with_columns(docs: DataFrame, added: str, make, text: str = "text", most: in
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
+def with_unique(rows: DataFrame, told: DataFrame, key: str, often: str, total: int | None = None) -> DataFrame:
+    """rows left-joined with told, which has a key once and in `often` how many rows have it.
+
+    Keys of more than a two-thousandth of all rows, of which there are less than 2,000, are
+    sent to all tasks; the others are joined by a shuffle that no key makes uneven. total is
+    the number of rows or more, where the caller knows it.
+    """
+    if total is None:
+        total = told.agg(F.sum(often)).first()[0] or 0
+    hot = told.filter(F.col(often) > total // 2000 + 1000).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in told.columns if c != key))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    added = [c for c in told.columns if c != key and c not in rows.columns]
+    often_met = dealt.filter("hot_key is not null").select(*rows.columns, *(F.col(f"hot_{c}").alias(c) for c in added))
+    rest = dealt.filter("hot_key is null").select(*rows.columns).join(told.select(key, *added), key, "left").select(*rows.columns, *added)
+    return often_met.unionAll(rest)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that begins with `name` and is none of df's, in any case."""
     have = {c.lower() for c in df.columns}

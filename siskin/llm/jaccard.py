@@ -491,27 +491,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     rooted = classes.join(roots, classes["name"] == roots["node"], "left").select("name", "least", "copies", F.coalesce("root", "name").alias("root"))
     rooted = blocks.written(rooted, spark)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = _with_unique(rooted, smallest, "root", "members", spark).select("name", "copies", "component_id")
-    out = _with_unique(described, blocks.written(named, spark), "name", "copies", spark)
+    named = blocks.with_unique(rooted, smallest, "root", "members").select("name", "copies", "component_id")
+    out = blocks.with_unique(described, blocks.written(named, spark), "name", "copies")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id"))
 
 
-def _with_unique(rows: DataFrame, told: DataFrame, key: str, often: str, spark: SparkSession) -> DataFrame:
-    """rows left-joined with told, which has a key once and in `often` how many rows have it.
-
-    Keys of more than a two-thousandth of all rows, of which there are less than 2,000, are
-    sent to all tasks; the others are joined by a shuffle that no key makes uneven.
-    """
-    total = told.agg(F.sum(often)).first()[0] or 0
-    hot = told.filter(F.col(often) > total // 2000 + 1000).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in told.columns if c != key))
-    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
-    added = [c for c in told.columns if c != key and c not in rows.columns]
-    often_met = dealt.filter("hot_key is not null").select(*rows.columns, *(F.col(f"hot_{c}").alias(c) for c in added))
-    rest = dealt.filter("hot_key is null").select(*rows.columns).join(told.select(key, *added), key, "left").select(*rows.columns, *added)
-    return often_met.unionAll(rest)
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each component, with the columns of docs; of equal rows one stays.
 

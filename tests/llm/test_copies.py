@@ -276,6 +276,16 @@ def test_components_of_a_path(spark):
 # -- scoring ----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("hub", [0, 4000])
+def test_components_of_a_hub(spark, hub):
+    """A node of thousands of links, smallest or largest, with short paths besides."""
+    spokes = [x for x in range(1, 3500)]
+    pairs = [(hub, x) for x in spokes] + [(5000, 5001), (5001, 5002), (6000, 6000)]
+    got = dict(map(tuple, links.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    least = min(hub, 1)
+    assert got == {x: least for x in [hub, *spokes]} | {5000: 5000, 5001: 5000, 5002: 5000}
+
+
 def test_recursions_against_all_paths():
     rng = np.random.default_rng(0)
     k, c = 3, 5
