@@ -105,6 +105,21 @@ class CountMin:
     def top_k(self, k: int, candidates: DataFrame, column: str) -> DataFrame:
         return self.count(candidates, column).orderBy(F.desc("estimate"), column).limit(k)
 
+    def exact_top_k(self, k: int, df: DataFrame, column: str) -> DataFrame:
+        """The k most frequent values of df, NULL among them, with their counts as estimate. The sketch must hold all of df.
+
+        No estimate is below its count, so a value estimated under the least count of the first k
+        by estimate is not among the k. All others are counted in df.
+        """
+        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("estimate"))
+        held = self.count(df.filter(F.col(column).isNotNull()), column)
+        first = held.orderBy(F.desc("estimate"), column).limit(k).select(column)
+        least = counts.join(F.broadcast(first), column, "left_semi").agg(F.min("estimate").alias("least"))
+        kept = held.join(F.broadcast(least), F.col("estimate") >= F.col("least")).select(column)
+        # NULLs are not in a sketch
+        found = counts.join(kept, column, "left_semi").unionByName(counts.filter(F.col(column).isNull()))
+        return found.orderBy(F.desc("estimate"), F.asc_nulls_last(column)).limit(k)
+
 
 class ORSet:
     """An add-wins set: rows added under unique ids, and the (element, id) pairs removed since."""

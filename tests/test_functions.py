@@ -54,6 +54,16 @@ def test_count_min(spark):
         s.merge(sketches.CountMin(50, 3))
 
 
+def test_count_min_exact_top_k(spark):
+    words = spark.createDataFrame([(w,) for w in "aaaaabbbbccdefghijklmnop"] + [(None,)] * 4, "w string")
+    for width, depth in ((1, 1), (2, 3), (50, 4)):
+        s = sketches.CountMin(width, depth).insert(words, "w")
+        assert [tuple(r) for r in s.exact_top_k(4, words, "w").collect()] == [("a", 5), ("b", 4), (None, 4), ("c", 2)]
+        # fewer values than asked for
+        assert s.exact_top_k(99, words, "w").count() == 17
+    assert sketches.CountMin(2, 3).insert(words.limit(0), "w").exact_top_k(4, words.limit(0), "w").isEmpty()
+
+
 pairs = st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9)), max_size=6)
 
 

@@ -45,6 +45,15 @@ def test_matches_sql(spark, db, name):
     assert sorted(rows) == sorted([cell(r[i]) for i in order] for r in want.fetchall())
 
 
+def test_cms_topk_with_more_keys_than_buckets(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT CASE WHEN i % 100000 > 0 THEN i % 100000 END AS o_custkey FROM range(800000) t(i) UNION ALL SELECT 5 * i FROM range(9000) t(i) UNION ALL SELECT unnest([45000, 45000, NULL, NULL])")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    got = registry.queries()["cms_topk"](spark, str(tmp_path))
+    # NULL is as frequent as the first, and comes after it
+    assert [tuple(r) for r in got.collect()] == con.execute(registry.oracle_sql()["cms_topk"]).fetchall()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["c_mktsegment", "o_orderpriority", "n", "lines", "most"]
 
