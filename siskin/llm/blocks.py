@@ -70,6 +70,7 @@ def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more.
 
     Spark does so when the driver collects its garbage; between large steps it is asked to.
+    The driver's heap shrinks by that, too.
     """
     import gc
 

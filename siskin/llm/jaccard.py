@@ -25,6 +25,7 @@ n^2 / 2^65.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +90,18 @@ def _slot(s: np.ndarray) -> np.ndarray:
 class Order:
     """Shingles from rare to frequent, by a class of their slot's count and then by hash."""
 
-    def __init__(self, counts: np.ndarray):
-        self.kinds = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
-        #: What a slot's class costs beyond the slots' usual load.
-        usual = float(np.median(counts)) if len(counts) else 0.0
+    def __init__(self, counts: np.ndarray | Iterable[np.ndarray]):
+        """counts: of every slot, as one array or as its slices, of which one is held at a time."""
+        kinds, values, often = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for part in [counts] if isinstance(counts, np.ndarray) else counts:
+            kinds.append(np.floor(2 * np.log2(np.maximum(part, 1))).astype(np.uint8))
+            own, n = np.unique(part, return_counts=True)
+            values, at = np.unique(np.concatenate([values, own.astype(np.uint64)]), return_inverse=True)
+            often = np.bincount(at, np.concatenate([often, n]), len(values)).astype(np.int64)
+        self.kinds = np.concatenate(kinds)
+        #: What a slot's class costs beyond the slots' usual load, which is their median.
+        middle = np.searchsorted(np.cumsum(often), [(len(self.kinds) - 1) // 2, len(self.kinds) // 2], "right")
+        usual = float(values[middle].mean()) if len(values) else 0.0
         self.cost = np.maximum(0.0, 2.0 ** (np.arange(256) / 2) - 4 * usual - 4)
 
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
@@ -159,10 +168,9 @@ def _described(docs: DataFrame) -> tuple[DataFrame, Order]:
     parts = both.filter("slice is not null").select("slice", F.pmod(F.xxhash64("counts"), F.lit(8)).cast("int").alias("part"), F.lit(False).alias("wide"), "counts")
     parts = parts.groupBy("slice", "part").applyInArrow(summed, form)
     totals = parts.groupBy("slice").applyInArrow(summed, form)
-    counts = np.zeros(1 << ORDER_BITS, np.uint64)
-    width = len(counts) // ORDER_SLICES
-    for r in totals.select("slice", "counts").collect():  # 64 rows of fixed size
-        counts[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
+    found = {r["slice"]: r["counts"] for r in totals.select("slice", "counts").collect()}  # 64 rows of fixed size
+    none = zlib.compress(bytes(8 * ((1 << ORDER_BITS) // ORDER_SLICES)), 1)
+    counts = (np.frombuffer(zlib.decompress(found.get(i, none)), np.uint64) for i in range(ORDER_SLICES))
     return both.filter("slice is null").select("doc_id", "key", "n_shingles", "name"), Order(counts)
 
 
@@ -473,9 +481,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     roots = components(links)
     # what is still apart
     apart = blocks.written(_apart(lists, roots), spark)
+    blocks.tidy(spark)
     x, y = (apart.filter(F.col("members") <= SHORT_LIST).select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "root"))) for s in "ab")
     short = x.join(y, "list").filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
     short = blocks.written(short.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct(), spark)
+    blocks.tidy(spark)
     found = links.unionAll(_agreeing(docs, classes, short, prefixes))
     long_ = apart.filter(F.col("members") > SHORT_LIST)
     if not long_.isEmpty():
@@ -490,9 +500,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     # a class's smallest document, then a component's
     rooted = classes.join(roots, classes["name"] == roots["node"], "left").select("name", "least", "copies", F.coalesce("root", "name").alias("root"))
     rooted = blocks.written(rooted, spark)
+    blocks.tidy(spark)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = blocks.with_unique(rooted, smallest, "root", "members").select("name", "copies", "component_id")
-    out = blocks.with_unique(described, blocks.written(named, spark), "name", "copies")
+    named = blocks.written(named, spark)
+    blocks.tidy(spark)
+    out = blocks.with_unique(described, named, "name", "copies")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id"))
 

@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("often"))
         joined = blocks.with_unique(large, small, "u", "often", n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
         edges = blocks.written(joined.filter("u != v").distinct(), spark)
+        blocks.tidy(spark)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -273,6 +274,32 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_order_from_slices():
+    """One slice of counts is held at a time, and the order is that of the whole array."""
+    counts = np.random.default_rng(5).integers(0, 3000, 1 << jaccard.ORDER_BITS).astype(np.uint64)
+    slices = np.split(counts, jaccard.ORDER_SLICES)
+    tracemalloc.start()
+    o = jaccard.Order(x.copy() for x in slices)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # of 64 MB of counts
+    assert (o.kinds == np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)).all()
+    assert (o.cost == np.maximum(0.0, 2.0 ** (np.arange(256) / 2) - 4 * float(np.median(counts)) - 4)).all()
+    for few in ([1, 2, 7, 9], [0, 0, 5, 9], [3, 3, 3, 3]):
+        few = np.array(few, np.uint64)
+        assert (jaccard.Order(iter(np.split(few, 2))).cost == np.maximum(0.0, 2.0 ** (np.arange(256) / 2) - 4 * float(np.median(few)) - 4)).all()
+
+
+def test_components_give_memory_back(spark, monkeypatch):
+    """Each round lets the driver drop what the round before left."""
+    tidied, tidy = [], blocks.tidy
+    monkeypatch.setattr(blocks, "tidy", lambda s: tidied.append(len(blocks._written)) or tidy(s))
+    first = len(blocks._written)
+    links.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")).collect()
+    written = len(blocks._written) - first - 1  # the links, then two tables a round
+    assert written % 2 == 0 and len(tidied) == written // 2
+
+
 # -- scoring ----------------------------------------------------------------------------------
 
 
